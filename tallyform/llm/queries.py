@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substring, topk
+from . import html_extract, packing, simhash, substring, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,8 +39,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_sha").alias("kept_sha256"))
 
 
+def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_harmonic_packing, op4_exact_topk, op7_simhash, op8_substring_dedup)}
+    return {f.__name__: f for f in (op3_harmonic_packing, op4_exact_topk, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter)}
 
 
 #: SQL that DuckDB runs on the same tables.
