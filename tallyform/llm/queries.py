@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, packing, quality, simhash, substring, topk, url_filter
+from . import decontam, html_extract, langid, licenses, packing, quality, simhash, substring, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its place and errors."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,6 +37,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -62,8 +72,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op5_license_scan, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter, pipeline)}
 
 
 #: SQL that DuckDB runs on the same tables.
