@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyform.functions.numbers import rounded
@@ -122,45 +122,64 @@ def field_prompt(document_type: str) -> str:
 # ---------------------------------------------------------------- labelled text
 
 
-def labelled_lines(texts: DataFrame, key: str, text: str = "text", document_type: str = "document_type") -> DataFrame:
-    """One row a non-blank line: key, pos, line, and the field of an inline or label-only line with its value.
+def _labels_of(document_type: Column) -> Column:
+    """Map of label phrase to field for the row's document type; empty for types without a schema."""
+    out = F.create_map().cast("map<string,string>")
+    for t in catalog.SCHEMAS:
+        out = F.when(document_type == t, F.create_map(*[F.lit(x) for kv in catalog.label_map(t).items() for x in kv])).otherwise(out)
+    return out
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once per row, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def labelled_fields(text: Column | str, document_type: Column | str) -> Column:
+    """Map of field to value by labels, row by row without a shuffle; the first match of a field wins.
 
     An inline `label: value` comes first; a label-only line takes the next line unless that is a
-    label itself. Labels are looked up among those of the row's document type.
+    label itself. Labels are looked up among those of the row's document type. Where no label gives
+    them, nin is any 11 digits on their own and bvn 11 digits after that word.
     """
-    spark = texts.sparkSession
-    labels = F.broadcast(catalog.label_table(spark))
-    one = texts.select(F.col(key).alias("key"), F.col(document_type).alias("document_type"), F.posexplode(lines(text)).alias("pos", "line"))
-    one = one.withColumn("inline_label", N.label(F.regexp_extract("line", INLINE, 1))).withColumn("inline_value", N.strip(F.regexp_extract("line", INLINE, 2)))
-    one = one.withColumn("whole_label", N.label(F.regexp_replace("line", ":+$", "")))
-    a = labels.select("document_type", F.col("label").alias("inline_label"), F.col("field").alias("inline_field"))
-    b = labels.select("document_type", F.col("label").alias("whole_label"), F.col("field").alias("whole_field"))
-    one = one.join(a, ["document_type", "inline_label"], "left").join(b, ["document_type", "whole_label"], "left")
-    one = one.withColumn("inline_field", F.when(F.col("inline_value") != "", F.col("inline_field")))
-    w = Window.partitionBy("key").orderBy("pos")
-    nxt = F.struct("line", (F.col("inline_field").isNotNull() | F.col("whole_field").isNotNull()).alias("is_label"))
-    one = one.withColumn("next", F.lead(nxt).over(w))
-    field = F.coalesce("inline_field", F.when(F.col("next.line").isNotNull() & ~F.col("next.is_label"), F.col("whole_field")))
-    value = F.when(F.col("inline_field").isNotNull(), F.col("inline_value")).otherwise(F.col("next.line"))
-    return one.select("key", "document_type", "pos", "line", field.alias("field"), value.alias("value"))
+    t = F.col(text) if isinstance(text, str) else text
+    kind = F.col(document_type) if isinstance(document_type, str) else document_type
 
+    def tagged(labels: Column) -> Callable[[Column], Column]:
+        def one(line: Column) -> Column:
+            value = N.strip(F.regexp_extract(line, INLINE, 2))
+            inline = F.when(value != "", F.try_element_at(labels, N.label(F.regexp_extract(line, INLINE, 1))))
+            return F.struct(line.alias("line"), value.alias("value"), inline.alias("inline"), F.try_element_at(labels, N.label(F.regexp_replace(line, ":+$", ""))).alias("whole"))
 
-def text_fields(texts: DataFrame, key: str, text: str = "text", document_type: str = "document_type", confidence: float = 0.5) -> DataFrame:
-    """(key, field, value, normalized_value, confidence) by labels, the first match of a field winning.
+        return one
 
-    Where no label gives them, nin is any 11 digits on their own and bvn 11 digits after that word.
-    """
-    found = labelled_lines(texts, key, text, document_type).where("field is not null and value <> ''")
-    found = found.groupBy("key", "field").agg(F.min_by("value", "pos").alias("value"), F.lit(0).alias("late"))
-    kind, t = F.col(document_type), F.col(text)
-    late = [
-        ("nin", F.regexp_extract(t, rf"(?<![{N.WORD}])([0-9]{{11}})(?![{N.WORD}])", 1)),
-        ("bvn", F.regexp_extract(t, r"(?i)bvn[^0-9]{0,16}([0-9]{11})", 1)),
-    ]
-    options = F.array(*[F.struct(F.lit(f).alias("field"), F.when(kind.isin([s for s, own in catalog.SCHEMAS.items() if f in own]), v).alias("value")) for f, v in late])
-    fall = texts.select(F.col(key).alias("key"), F.explode(options).alias("o")).select("key", "o.field", "o.value", F.lit(1).alias("late")).where("value <> ''")
-    both = found.unionByName(fall).groupBy("key", "field").agg(F.min_by("value", "late").alias("value"))
-    return both.select("key", "field", "value", N.field_value("field", "value").alias("normalized_value"), F.lit(confidence).alias("confidence"))
+    def hit(all_: Column) -> Callable[[Column, Column], Column]:
+        def one(x: Column, i: Column) -> Column:
+            nxt = F.get(all_, i + 1)
+            takes = nxt["line"].isNotNull() & nxt["inline"].isNull() & nxt["whole"].isNull()
+            field = F.coalesce(x["inline"], F.when(takes, x["whole"]))
+            return F.struct(field.alias("key"), F.when(x["inline"].isNotNull(), x["value"]).otherwise(nxt["line"]).alias("value"))
+
+        return one
+
+    def first_only(acc: Column, x: Column) -> Column:
+        return F.when(x["key"].isNull() | (F.coalesce(x["value"], F.lit("")) == "") | F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.concat(acc, F.array(x)))
+
+    def late(field: str, pattern: str) -> Column:
+        types = [k for k, own in catalog.SCHEMAS.items() if field in own]
+        return F.struct(F.lit(field).alias("key"), F.when(kind.isin(types), F.regexp_extract(t, pattern, 1)).alias("value"))
+
+    fall = F.array(late("nin", rf"(?<![{N.WORD}])([0-9]{{11}})(?![{N.WORD}])"), late("bvn", r"(?i)bvn[^0-9]{0,16}([0-9]{11})"))
+    lines_ = _once(_labels_of(kind), lambda labels: F.transform(lines(t), tagged(labels)))
+    hits = _once(lines_, lambda all_: F.concat(F.transform(all_, hit(all_)), fall))
+    got = F.aggregate(hits, F.array().cast("array<struct<key:string,value:string>>"), first_only)
+    return F.coalesce(F.map_from_entries(got), F.create_map().cast("map<string,string>"))
+
+
+def text_fields(texts: DataFrame, key: str, text: str = "text", document_type: str = "document_type", confidence: float = 0.5) -> DataFrame:
+    """(key, field, value, normalized_value, confidence) by labels; see labelled_fields."""
+    got = texts.select(F.col(key).alias("key"), F.explode(labelled_fields(text, document_type)).alias("field", "value"))
+    return got.select("key", "field", "value", N.field_value("field", "value").alias("normalized_value"), F.lit(confidence).alias("confidence"))
 
 
 # ---------------------------------------------------------------- plain text
@@ -206,7 +225,7 @@ def plain_fields(text: Column | str, document_type: Column | str) -> Column:
         one = [F.struct(F.lit(f).alias("key"), F.when(kind.isin(types[f]), plain_value(f, r["text"], r["lines"])).alias("value")) for f in names]
         return F.map_from_entries(F.filter(F.array(*one), lambda x: F.coalesce(x["value"], F.lit("")) != ""))
 
-    return F.element_at(F.transform(F.array(F.struct(t.alias("text"), lines(t).alias("lines"))), read), 1)
+    return _once(F.struct(t.alias("text"), lines(t).alias("lines")), read)
 
 
 # ---------------------------------------------------------------- OCR words

@@ -53,10 +53,9 @@ def plain(samples: DataFrame) -> DataFrame:
 
 
 def labelled(samples: DataFrame) -> DataFrame:
-    """Reads fields from labelled lines of text; fields meet their samples by sample_id."""
-    got = extract.text_fields(samples, "sample_id").groupBy(F.col("key").alias("sample_id")).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    """Reads fields from labelled lines of the same row's text."""
     cls = extract.keyword_class("text")
-    out = samples.join(got, "sample_id", "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    out = samples.withColumn("fields", extract.labelled_fields("text", "document_type"))
     return _finish(out.withColumn("classification", F.struct(cls["document_type"].alias("document_type"), cls["confidence"].alias("confidence"))).withColumn("schema_followed", F.lit(False)))
 
 

@@ -21,12 +21,15 @@ def append(evidence: DataFrame, path: str, checkpoint: str, once: bool = False)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def rolling(evidence: DataFrame, event_time: str = "ts", width: str = "10 minutes", slide: str | None = None, late: str = "30 minutes") -> DataFrame:
-    """Per candidate and window: rows, mean accuracy and errors. Rows later than `late` are left out and state is dropped."""
+def rolling(evidence: DataFrame, event_time: str = "ts", width: str = "10 minutes", slide: str | None = None, late: str | None = "30 minutes") -> DataFrame:
+    """Per candidate and window: rows, mean accuracy and errors. Rows later than `late` are left out and state is dropped.
+
+    late=None keeps the watermark that the rows already have; it can be set once in a stream.
+    """
     w = F.window(event_time, width, slide) if slide else F.window(event_time, width)
     err = F.coalesce("error_code", F.lit("")) != ""
     return (
-        evidence.withWatermark(event_time, late)
+        (evidence.withWatermark(event_time, late) if late else evidence)
         .groupBy(w, "candidate")
         .agg(F.count("*").alias("n"), F.avg("field_accuracy").alias("field_accuracy"), F.count_if(err).alias("errors"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "candidate", "n", "field_accuracy", "errors")

@@ -98,7 +98,7 @@ def test_stream_rolling_windows(spark, tmp_path):
     rows += [("a", "s9", 0.5, None, "2026-01-02T00:00:00Z")]
     (src / "0.json").write_text("".join(json.dumps(dict(zip(("candidate", "sample_id", "field_accuracy", "error_code", "ts"), r))) + "\n" for r in rows))
     live = stream.read(spark, str(src), "candidate string, sample_id string, field_accuracy double, error_code string, ts timestamp")
-    q = stream.rolling(stream.first_seen(live)).writeStream.format("memory").queryName("rolled").outputMode("append").trigger(availableNow=True).start()
+    q = stream.rolling(stream.first_seen(live), late=None).writeStream.format("memory").queryName("rolled").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {str(r.start)[11:16]: (r.n, r.errors) for r in spark.table("rolled").collect()}
     assert got == {"00:00": (2, 1), "00:10": (1, 0)}
