@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyform.functions.numbers import rounded
 from tallyform.functions import normalize as N
 from tallyform.functions import similarity as S
-from tallyform.operators import benchmark, extract, image, report, score, validate
+from tallyform.operators import benchmark, extract, image, report, resources, score, validate
 from tallyform.plans import catalog
 from tallyform.plans.inputs import DATES_SQL, EVIDENCE_SQL, TEXTS_SQL, answers, dates, evidence, labelled_texts, table
 from tallyform.sources import generate, io, providers
@@ -185,9 +185,7 @@ def gpu_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("event_id") % 3
     before, after = F.when(m != 0, F.col("value")), F.when(m == 1, 0.0).otherwise(rounded(F.col("value") / 2, 3))
     listing = F.concat(F.col("value").cast("string"), F.when(m == 2, F.lit(" [N/A]")).otherwise(F.lit("\n12")))
-    numbers = F.filter(F.transform(F.split(listing, r"[ \n]+"), lambda t: t.try_cast("double")), lambda t: t.isNotNull())
-    total = F.when(F.size(numbers) > 0, rounded(F.aggregate(numbers, F.lit(0.0), lambda a, t: a + t), 1))
-    return e.select("event_id", F.greatest(F.nullif(before, F.lit(0.0)), F.nullif(after, F.lit(0.0))).alias("gpu_mb"), total.alias("total_mb"))
+    return e.select("event_id", resources.larger_reading(before, after).alias("gpu_mb"), resources.listing_total(listing).alias("total_mb"))
 
 
 # ---------------------------------------------------------------- normalization and checks

@@ -7,6 +7,7 @@ error_code, skipped. Model endpoints are callables (system text, user text, imag
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -98,6 +99,47 @@ def ask(samples: DataFrame, chat: extract.Chat, system: str = "You read document
     return out.withColumn("error_code", code).withColumn("latency_ms", F.create_map(F.lit("extract_fields"), F.col("_ms"), F.lit("total"), F.col("_ms"))).drop("_ms")
 
 
+def analyze(samples: DataFrame, ops: dict[str, Callable[[dict], object]]) -> DataFrame:
+    """samples with `results` (map of operation to JSON text), latency_ms, error, error_code and skipped.
+
+    Each operation gets the sample as a dictionary and is run on its own: a failure costs its result
+    only, is named in `error` and gives code PROVIDER_PARTIAL_FAILURE. An operation that is None is
+    not supported and is listed in `skipped`. Latencies are in ms, one for each operation and the total.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.to_dict("records"):
+                results, took, errors, skipped = {}, {}, [], []
+                for name, op in ops.items():
+                    if op is None:
+                        skipped.append(name)
+                        continue
+                    began = time.perf_counter()
+                    try:
+                        results[name] = json.dumps(op(row))
+                    except Exception as e:  # noqa: BLE001  an operation may fail in any way
+                        errors.append(f"{name}: {type(e).__name__}: {e}")
+                    took[name] = round((time.perf_counter() - began) * 1000, 1)
+                took["total"] = round(sum(took.values()), 1)
+                out.append((results, took, "; ".join(errors) or None, "PROVIDER_PARTIAL_FAILURE" if errors else None, skipped))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pdf.assign(results=cols[0], latency_ms=cols[1], error=cols[2], error_code=cols[3], skipped=cols[4])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
+    return samples.mapInPandas(run, fields + ", results map<string,string>, latency_ms map<string,double>, error string, error_code string, skipped array<string>")
+
+
+def probe(list_models: Callable[[], list[str]], model: str) -> tuple[bool, str | None]:
+    """Whether an endpoint answers and serves the model, and the reason if not."""
+    try:
+        served = list_models()
+    except Exception as e:  # noqa: BLE001
+        return False, f"endpoint not reachable: {type(e).__name__}"
+    return (True, None) if model in served else (False, f"model {model!r} is not served (served: {', '.join(served) or 'none'})")
+
+
 PROVIDERS: dict[str, Provider] = {"mock": mock, "plain": plain, "text": labelled, "json": json_answers}
 
 
