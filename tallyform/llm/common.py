@@ -6,6 +6,7 @@ Everything here is vectorised over Arrow batches; no function holds more than on
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a single longer row forms a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -68,6 +69,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand whole texts to Python in smaller Arrow batches, unless the session has its own limit.
+
+    With the default of 64 MB a batch, its copies on both sides take more memory than the kernels.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, "67108864b") in ("67108864b", "64m"):
+        spark.conf.set(limit, size)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system; workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def discard(df: DataFrame, tables: list[DataFrame]) -> None:
     """Remove scratch tables that no later result reads."""
     for t in tables:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_bytes, slices, sort_groups, utf8_view, window_hashes, word_hashes, word_spans
+from .common import SLICE_BYTES, give_back, lean_batches, mix, row_bytes, slices, sort_groups, utf8_view, window_hashes, word_hashes, word_spans
 
 WIDTH, CORE = 50, 8
 #: Bytes of text in one slice of local comparison; its windows are sorted in memory.
@@ -55,17 +55,24 @@ def _runs(*keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _windows(data: np.ndarray, off: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
-    """Row, position, minimiser and hash of every window of the rows of one slice."""
-    start, end, first = word_spans(data, off)
-    h = word_hashes(data, start, end)
-    if len(h) < width:
-        e = np.empty(0, np.int64)
-        return e, e, e.astype(np.uint64), e.astype(np.uint64)
-    win, least = window_hashes(h, width), _least_of(window_hashes(h, core), width - core + 1)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))[: len(win)]
-    pos = np.arange(len(win)) - first[row]
-    inside = np.arange(len(win)) + width <= first[row + 1]
-    return row[inside], pos[inside], least[inside], win[inside]
+    """Row, position, minimiser and hash of every window of the rows of one slice.
+
+    Bytes are hashed a small sub-slice at a time, as those arrays are much larger than the windows'.
+    """
+    parts = []
+    for a, b in slices(off, SLICE_BYTES):
+        start, end, first = word_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        h = word_hashes(data[off[a] : off[b]], start, end)
+        if len(h) < width:
+            continue
+        win, least = window_hashes(h, width), _least_of(window_hashes(h, core), width - core + 1)
+        row = np.repeat(np.arange(b - a), np.diff(first))[: len(win)]
+        pos = np.arange(len(win)) - first[row]
+        inside = np.arange(len(win)) + width <= first[row + 1]
+        parts.append(((row[inside] + a), pos[inside].astype(np.int32), least[inside], win[inside]))
+    if not parts:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _packed(h: np.ndarray, cut: np.ndarray) -> pa.Array:
@@ -107,6 +114,7 @@ def _sender(width: int, core: int):
                 blob = _packed(win[i], r)
                 i = i[r]
                 yield pa.RecordBatch.from_arrays([pa.array(least[i].view(np.int64)), pa.array(doc[i]), pa.array(key[i]), pa.array(pos[i].astype(np.int32)), pa.array(n.astype(np.int32)), blob], schema=_SENT)
+        give_back()
 
     return run
 
@@ -157,12 +165,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = m[-1] if not len(new[0]) else new[0][-1]
         open_ = ~gone & (m == last)  # the last minimiser may go on in the next batch
         keep = [x[open_] for x in (m, h, doc, key, at)]
+    give_back()
 
 
 def removed_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
     """(doc_id, row_key, at, n): runs of n windows from word `at` on that a smaller doc_id also starts."""
     if not 0 < core <= width:
         raise ValueError("core must be in 1..width")
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).cast("string").alias("text"))
     sent = rows.mapInArrow(_sender(width, core), "minimiser long, doc_id long, row_key long, at int, n int, packed binary")
     return sent.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_settle, "doc_id long, row_key long, at int, n int")
@@ -180,7 +190,7 @@ def _apply(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, is_null, ranges in zip(row_bytes(batch.column("_text")), np.asarray(batch.column("_text").is_null()).tolist(), batch.column("_ranges").to_pylist()):
+            for text, is_null, ranges in zip(row_bytes(batch.column("__tf_text")), np.asarray(batch.column("__tf_text").is_null()).tolist(), batch.column("__tf_ranges").to_pylist()):
                 words = text.split()
                 kept = words
                 if ranges:
@@ -191,16 +201,17 @@ def _apply(width: int):
                 out[1].append(len(words) - len(kept))
                 out[2].append(None if is_null else joined if ranges else text)
                 out[3].append(hashlib.sha256(joined).hexdigest())
-            cols = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("_text", "_ranges")]
-            names = [x for x in batch.schema.names if x not in ("_text", "_ranges")]
+            cols = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("__tf_text", "__tf_ranges")]
+            names = [x for x in batch.schema.names if x not in ("__tf_text", "__tf_ranges")]
             new = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays(cols + new, names + ["_n_words", "_n_removed", "_kept", "_sha"])
+        give_back()
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
-    """All rows and columns of docs, with _n_words, _n_removed, _kept (text without what was removed) and _sha.
+    """All rows and columns of docs but the text, with _n_words, _n_removed, _kept (what is left of the text) and _sha.
 
     A word goes if a window of `width` words that covers it also starts in a row with a smaller
     doc_id. Rows are judged on the input, not on what is left, so order does not matter. Null texts
@@ -208,16 +219,19 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined by single spaces. A null doc_id counts as the largest. Rows that repeat a doc_id do not
     remove each other's words. _sha is the SHA-256 of the kept words joined by single spaces.
     """
-    gone = removed_ranges(docs, doc_id, text, width, core).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("at", "n")).alias("_ranges"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "_ranges")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).cast("string").alias("_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_key"))
-    joined = rows.join(gone.hint("shuffle_hash"), ["_id", "_key"], "left").drop("_id", "_key")
-    names = [c for c in docs.columns if c != text]
+    gone = removed_ranges(docs, doc_id, text, width, core).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("at", "n")).alias("__tf_ranges"))
+    gone = gone.select(F.col("doc_id").alias("__tf_id"), F.col("row_key").alias("__tf_key"), "__tf_ranges")
+    names = [c for c in docs.columns if c not in (text, "_n_words", "_n_removed", "_kept", "_sha")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("__tf_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("__tf_id"), F.xxhash64(text).alias("__tf_key"))
+    joined = rows.join(gone.hint("shuffle_hash"), ["__tf_id", "__tf_key"], "left").drop("__tf_id", "__tf_key")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_apply(width), (fields + ", " if fields else "") + "_n_words long, _n_removed long, _kept string, _sha string")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, core: int = CORE) -> DataFrame:
     """docs with repeated passages removed from their text; columns and rows are kept."""
-    out = dedup_substrings(docs, doc_id, text, width, core)
-    return out.select(*[F.col("_kept").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    new = ("_n_words", "_n_removed", "_kept", "_sha")
+    own = [c for c in docs.columns if c in new]
+    out = dedup_substrings(docs.withColumnsRenamed({c: f"__tf_own{c}" for c in own}), doc_id, text, width, core)
+    out = out.drop(*[c for c in new if c != "_kept"]).withColumnRenamed("_kept", "__tf_kept").withColumnsRenamed({f"__tf_own{c}": c for c in own})
+    return out.select(*[F.col("__tf_kept").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
