@@ -193,8 +193,8 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = [main_text(p or "", k) for p, k in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist())]
-        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_html", "_path")]
+        text = [main_text(p or "", k) for p, k in zip(batch.column("__tf_html").to_pylist(), batch.column("__tf_path").to_pylist())]
+        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__tf_html", "__tf_path")]
         size = pa.array(map(len, text), pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(text, pa.string()), size], [*(batch.schema.names[i] for i in keep), "text", "n_chars"])
 
@@ -208,9 +208,9 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     """
     best = materialize(host_paths(pages, url, page), "host-paths")
     own = [c for c in pages.columns if c not in (page, "text", "n_chars")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in own], F.col(page).cast("string").alias("_html"), host_path(url)[0].alias("_host"))
-    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in own], F.col(page).cast("string").alias("__tf_html"), host_path(url)[0].alias("__tf_host"))
+    best = best.select(F.col("host").alias("__tf_host"), F.col("path").alias("__tf_path"))
     few = best.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
-    joined = rows.join(F.broadcast(best) if few else best, "_host", "left").drop("_host")
+    joined = rows.join(F.broadcast(best) if few else best, "__tf_host", "left").drop("__tf_host")
     fields = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in own)
     return joined.mapInArrow(_extract, fields + "text string, n_chars long")

@@ -154,8 +154,8 @@ def _scan(templates: dict[str, str], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, share)
         for batch in batches:
-            text = batch.column("_text")
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
+            text = batch.column("__tf_text")
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "__tf_text"]
             _, off = utf8_view(text)
             for a, b in slices(off, SLICE_BYTES * 4):
                 found = [scanner.scan(t or "") for t in text.slice(a, b - a).to_pylist()]
@@ -174,8 +174,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
     """
     new = ("license", "coverage", "n_spans", "spans")
     own = [c for c in docs.columns if c not in (text, *new)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("__tf_text"))
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
     out = rows.mapInArrow(_scan(TEMPLATES if templates is None else templates, share), fields + "spans array<struct<license:string,coverage:double,first_word:int,words:int>>")
     main = F.try_element_at(F.array_sort("spans", lambda x, y: F.coalesce(F.nullif(F.signum(y["words"] * y["coverage"] - x["words"] * x["coverage"]).cast("int"), F.lit(0)), x["first_word"] - y["first_word"])), F.lit(1))
-    return out.withColumn("_main", main).select(*[F.col(f"`{c}`") for c in own], F.col("_main.license").alias("license"), F.col("_main.coverage").alias("coverage"), F.size("spans").alias("n_spans"), "spans")
+    return out.withColumn("__tf_main", main).select(*[F.col(f"`{c}`") for c in own], F.col("__tf_main.license").alias("license"), F.col("__tf_main.coverage").alias("coverage"), F.size("spans").alias("n_spans"), "spans")

@@ -90,19 +90,19 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, off = utf8_view(batch.column("_text"))
-        keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
+        raw, off = utf8_view(batch.column("__tf_text"))
+        keep = [i for i, n in enumerate(batch.schema.names) if n != "__tf_text"]
         for a, b in slices(off, SLICE_BYTES * 2):
             x = features(raw[off[a] : off[b]], off[a : b + 1] - off[a])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, DIM, np.int32)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), flat], [*(batch.schema.names[i] for i in keep), "_x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in keep), flat], [*(batch.schema.names[i] for i in keep), "__tf_x"])
 
 
 def vectors(docs: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The named columns of docs (all but the text if none are given) and _x, the statistics of the whole text; null counts as empty."""
-    own = [c for c in docs.columns if c not in (text, "_x")] if columns is None else columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(_vectors, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + "_x array<double>")
+    own = [c for c in docs.columns if c not in (text, "__tf_x")] if columns is None else columns
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("__tf_text"))
+    return rows.mapInArrow(_vectors, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + "__tf_x array<double>")
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +153,8 @@ def _scorer(shared, soft: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_x"]
+            x = batch.column("__tf_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "__tf_x"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(model.score(x, soft))], [*(batch.schema.names[i] for i in keep), "score"])
 
     return run
@@ -162,7 +162,7 @@ def _scorer(shared, soft: float):
 
 def fit(labelled: DataFrame, label: str, shrink: float = SHRINK) -> Discriminant:
     """Discriminant from all rows of (label, _x) whose label is 0 or 1; only sums reach the driver, one row a class."""
-    sums = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), "_x").mapInArrow(_sums, "y int, s array<double>")
+    sums = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), "__tf_x").mapInArrow(_sums, "y int, s array<double>")
     got = sums.groupBy("y").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + DIM + DIM * DIM)]).collect()
     total = np.zeros((2, 1 + DIM + DIM * DIM))
     for r in got:

@@ -150,6 +150,6 @@ def judge(urls: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] =
     base = urls.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     scored = base.mapInArrow(_score(urls.sparkSession.sparkContext.broadcast(w)), fields + ", score double")
-    ruled = scored.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= cut, "block").otherwise("allow"))
-    return ruled.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
+    ruled = scored.withColumn("__tf_rule", rule_column(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("__tf_rule.verdict"), F.when(F.col("score") >= cut, "block").otherwise("allow"))
+    return ruled.select(*[F.col(f"`{c}`") for c in own], "host", "path", F.col("__tf_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
