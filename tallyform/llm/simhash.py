@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, row_bytes, slices, utf8_view
+from .common import give_back, lean_batches, materialize, mix, row_bytes, slices, utf8_view
 from .graph import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -59,16 +59,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
+        text = batch.column(2)
         _, off = utf8_view(text)
         for a, b in slices(off, 8 << 20):
             fp = np.fromiter(map(fingerprint, row_bytes(text.slice(a, b - a))), np.uint64, b - a)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id long, fp long) per row; null text counts as empty."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id long, row_key long, fp long) per row; null text counts as empty, row_key is a hash of the text."""
+    lean_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
 # ---------------------------------------------------------------- links between distinct fingerprints
@@ -189,7 +192,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp long, component_id) per row of docs.
+    """(doc_id, row_key, fp, root, component_id: long) per row of docs.
+
+    row_key is a hash of the whole text, root the smallest fingerprint of the component.
 
     component_id is the smallest doc_id reachable over links of at most max_bits differing bits, the
     row's own included. Null or empty texts have fingerprint zero and are linked like any other;
@@ -201,9 +206,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = fingerprint_links(distinct.select("fp"), max_bits)
     roots = materialize(connected_components(links), "roots")
     low = distinct.join(roots, distinct.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(low, "root").select(F.col("node").alias("fp"), F.col("component_id"))
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    linked = roots.join(low, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    # Written out, so that the last join has nothing but two exchanges under it and a fingerprint that
+    # very many rows share can be split.
+    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(materialize(label, "labels"), "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -212,7 +219,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Of repeated rows with that doc_id a single one stays. Rows with a null doc_id can't be named as
     members; they take no part and all stay. Columns are kept as they are.
     """
-    named = docs.where(F.col(doc_id).isNotNull())
-    keep = near_duplicates(named, doc_id, text, max_bits).select(F.col("component_id").alias("_keep")).distinct()
-    kept = named.join(keep, named[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
+    named = docs.where(F.col(doc_id).isNotNull()).withColumns({"__tf_id": F.col(doc_id).cast("long"), "__tf_key": F.xxhash64(text)})
+    marked = near_duplicates(named, doc_id, text, max_bits).where("doc_id = component_id")
+    first = marked.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select(F.col("k.doc_id").alias("__tf_id"), F.col("k.row_key").alias("__tf_key"))
+    kept = named.join(first, ["__tf_id", "__tf_key"], "left_semi").dropDuplicates(["__tf_id", "__tf_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
