@@ -5,9 +5,9 @@ its character pairs and triples (word edges included) and of the whole word, all
 script leaves only the languages that were seen in that script. Viterbi over a document's words with
 a penalty for each switch gives the spans; the document takes the language with most letters.
 
-The model is counted in Spark from at most `per_lang` documents of each language: those with the
-smallest hash of doc_id, a bound that does not grow with the table. Scoring reads all whole texts,
-in one pass without a shuffle.
+The model is counted in Spark from about `per_lang` documents of each language, those whose hash of
+doc_id lies in the lowest share that this makes of the language; the bound does not grow with the
+table. Scoring reads all whole texts, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, held_out, mix, slices, utf8_view, word_hashes
+from .common import SLICE_BYTES, give_back, held_out, lean_batches, mix, slices, utf8_view, word_hashes
 
 PER_LANG, BUCKET_BITS, SWITCH, SMOOTH, SCRIPT_SHARE = 3000, 15, 8.0, 0.5, 0.01
 #: Weights of the pair, triple and whole-word terms; pairs and triples overlap, so they count less than one each.
@@ -154,18 +154,28 @@ def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Model from rows with a language that are not held out: per language the per_lang rows of least hash."""
+def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
+    """(lang, text) of rows with a language that are not held out: about per_lang of each language, all of smaller ones.
+
+    Hashes are spread evenly, so a language of n rows keeps those under per_lang / n of their range;
+    only the counts are gathered, one row a language.
+    """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text"), held_out(doc_id).alias("out"))
     rows = rows.where("lang is not null and not out")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = {r.lang: r.h for r in rows.select("lang", "h").withColumn("i", nth).where(F.col("i") <= per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not last:
-        return Model([], np.zeros((3, 1 << BUCKET_BITS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows.select("lang", "text").limit(0)
+    last = {k: (1 << 63) - 1 if n <= per_lang else (per_lang << 64) // n - (1 << 63) for k, n in sizes.items()}
     bound = F.create_map(*[F.lit(x) for kv in sorted(last.items()) for x in kv])
-    chosen = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).where("text is not null").select("lang", "text")
+    return rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).select("lang", "text")
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Model:
+    """Model from training_rows. A language all of whose texts are null or have no letter is not learned."""
+    lean_batches(docs.sparkSession)
+    chosen = training_rows(docs, doc_id, text, lang, per_lang).where("text is not null")
     got = chosen.mapInArrow(_counter, "lang string, kind int, id int, n long").groupBy("lang", "kind", "id").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(last)
+    langs = sorted(set(got.column("lang").to_pylist()))
     counts, scripts = np.zeros((3, 1 << BUCKET_BITS, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
     number = np.array([langs.index(x) for x in got.column("lang").to_pylist()], np.int64)
     kind, i, n = (got.column(c).to_numpy() for c in ("kind", "id", "n"))
@@ -200,8 +210,8 @@ def _labeller(shared, penalty: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            text = batch.column("_text")
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
+            text = batch.column("__tf_text")
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "__tf_text"]
             _, off = utf8_view(text)
             for a, b in slices(off, SLICE_BYTES * 2):
                 pred, share, found = label_texts(model, [t or "" for t in text.slice(a, b - a).to_pylist()], penalty, spans)
@@ -210,6 +220,7 @@ def _labeller(shared, penalty: float, spans: bool):
                 if spans:
                     cols, names = [*cols, pa.array(found, kind)], [*names, "spans"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     return run
 
@@ -221,9 +232,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     letter, and all texts if nothing was learned are `und` with score 0. Words in a script that no
     learned language uses favour none. Rows repeat and stay.
     """
+    lean_batches(docs.sparkSession)
     new = {"lang_pred", "score"} | ({"spans"} if spans else set())
     own = [c for c in docs.columns if c not in new]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).cast("string").alias("__tf_text"))
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + "lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_labeller(shared, penalty, spans), fields + (", spans array<struct<lang:string,first:int,words:int>>" if spans else ""))
