@@ -42,8 +42,8 @@ _TOP = 0x30000
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Whether a code point is a letter or mark, and the number of its script; the last entry stands for all higher ones."""
-    letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(_TOP)] + [False])
+    """2 for letters and 1 for marks, and the number of the script; the last entry stands for all higher code points."""
+    letter = np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(_TOP)] + [0], np.uint8)
     script = np.zeros(_TOP + 1, np.uint8)
     for name, a, b in SCRIPTS:
         script[a : b + 1] = SCRIPT_NAMES.index(name)
@@ -57,8 +57,15 @@ class Words:
         letter, script = _tables()
         lowered = [t.lower() for t in texts]
         code = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-        is_letter = letter[np.minimum(code, _TOP)] if len(code) else np.empty(0, bool)
-        self.at = np.flatnonzero(is_letter)
+        kind = letter[np.minimum(code, _TOP)] if len(code) else np.empty(0, np.uint8)
+        self.at = np.flatnonzero(kind)
+        run = np.flatnonzero(np.append(True, np.diff(self.at) > 1)) if len(self.at) else np.empty(0, np.int64)
+        bare = np.maximum.reduceat(kind[self.at], run) < 2 if len(run) else np.empty(0, bool)
+        if bare.any():  # marks without a letter are no word
+            kind = kind.copy()
+            kind[self.at[np.repeat(bare, np.diff(np.append(run, len(self.at))))]] = 0
+            self.at = np.flatnonzero(kind)
+        is_letter = kind > 0
         edge = np.append(True, np.diff(self.at) > 1) if len(self.at) else np.empty(0, bool)
         self.first = np.flatnonzero(edge)  # among letters
         start = self.at[self.first]

@@ -192,11 +192,11 @@ def test_viterbi_reaches_the_best_value():
 
 
 def test_words_split_at_anything_but_letters():
-    w = langid.Words(["Ça va, l'été?", "", "1 2 3", "日本 ab", "e\u0301t"])
-    assert np.diff(w.of_row).tolist() == [4, 0, 0, 2, 1]
+    w = langid.Words(["Ça va, l'été?", "", "1 2 3", "日本 ab", "e\u0301t", "\u0301 1\u0302"])
+    assert np.diff(w.of_row).tolist() == [4, 0, 0, 2, 1, 0]
     assert [langid.SCRIPT_NAMES[s] for s in w.script] == ["latin"] * 4 + ["han", "latin", "latin"]
     letter, _ = langid._tables()
-    assert all(letter[c] == (unicodedata.category(chr(c))[0] in "LM") for c in range(0, 0x3000, 7))
+    assert all((letter[c] > 0) == (unicodedata.category(chr(c))[0] in "LM") for c in range(0, 0x3000, 7))
 
 
 def model(spark):
