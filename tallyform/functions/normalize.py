@@ -6,6 +6,7 @@ only know ASCII.
 
 from __future__ import annotations
 
+import re
 from datetime import date
 from functools import reduce
 
@@ -19,6 +20,14 @@ WORD = r"\p{L}\p{N}_"
 
 #: Date patterns in the order in which they are tried (fixed values).
 DATE_PATTERNS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "d MMM, yyyy", "d-MMM-yyyy", "d/M/yy")
+
+
+def date_shape(pattern: str) -> str:
+    """Regular expression that every text of a date pattern fits; parsers are slow at refusing others."""
+    parts = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}"}
+    return "^" + re.sub(r"[yMd]+|\.", lambda m: parts.get(m[0], r"\."), pattern) + "$"
+
+
 #: Two-digit years from this one on belong to the last century.
 PIVOT_YEAR = 2069
 
@@ -66,8 +75,7 @@ def number(c: Column | str) -> Column:
 def parsed_date(c: Column | str) -> Column:
     """Date by the first pattern that fits the cleaned text, else by a date inside it; null if there is none."""
     v = whitespace(c)
-    whole = [F.try_to_date(v, p) for p in DATE_PATTERNS[:-1]]
-    short = F.try_to_date(v, DATE_PATTERNS[-1])
+    *whole, short = [F.when(v.rlike(date_shape(p)), F.try_to_date(v, p)) for p in DATE_PATTERNS]
     short = F.when(F.year(short) >= PIVOT_YEAR, F.add_months(short, -1200)).otherwise(short)
 
     def inner(pattern: str, y: int, m: int, d: int) -> Column:
