@@ -161,12 +161,12 @@ def _scorer(shared, soft: float):
 
 
 def fit(labelled: DataFrame, label: str, shrink: float = SHRINK) -> Discriminant:
-    """Discriminant from all rows of (label, _x) whose label is 0 or 1; only sums reach the driver, one row a class."""
+    """Discriminant from all rows of (label, _x) whose label is 0 or 1; only sums reach the driver, 273 numbers a class."""
     sums = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), "__tf_x").mapInArrow(_sums, "y int, s array<double>")
-    got = sums.groupBy("y").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + DIM + DIM * DIM)]).collect()
+    got = sums.select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + DIM + DIM * DIM))
     for r in got:
-        total[r[0]] = r[1:]
+        total[r.y, r.i] = r.v
     return Discriminant(total, shrink)
 
 
