@@ -3,7 +3,8 @@
 Every page is read into blocks of text and the containers around them. Containers are scored by the
 running text they hold; each page votes for its containers' generalised paths (tags with classes,
 digits dropped, positions dropped), votes are summed per host in Spark, and each page is read again
-with its host's winning path. A page without that path falls back to its own best container.
+with its host's winning path. A page without that path falls back to its own best container. Text is
+taken from the whole article around the container, so titles, leads and sections beside it stay.
 
 Votes are whole numbers, so sums do not depend on the order of rows. A host's votes are aggregated
 on the map side first; pages meet the winners by a broadcast only while the hosts are few.
@@ -160,14 +161,43 @@ def scored(found: list[tuple[Node, str, int]]) -> dict[int, int]:
     return best
 
 
+def _whole(node: Node, held: dict[Node, int]) -> Node:
+    """The article that a container is part of: the outermost article or main around it.
+
+    Without such, the outermost ancestor with headings or paragraphs of its own or with the container's section in it;
+    body only if it has both headings and paragraphs.
+    """
+    chain = list(_holders(node))
+    named = [h for h in chain if h.tag in ("article", "main")]
+    if named:
+        return named[-1]
+    for part, holder in zip(chain, chain[1:]):
+        own = held.get(holder, 0)
+        if own == 3 if holder.tag in ("", "html", "body") else own or part.tag == "section":
+            node = holder
+    return node
+
+
+def _inside(found: list[tuple[Node, str, int]], path: int) -> list[str]:
+    """Blocks of the articles that containers of the path are part of."""
+    held: dict[Node, int] = {}
+    for node, _, _ in found:
+        kind = 0
+        while node.tag in _INNER and node.parent is not None:
+            kind |= 1 if node.tag in HEADING else 2 if node.tag == "p" else 0
+            node = node.parent
+        held[node] = held.get(node, 0) | kind
+    chosen = {_whole(h, held) for h in {h for n, _, _ in found for h in _holders(n) if h.path == path}}
+    return [t for n, t, _ in found if any(h in chosen for h in _holders(n))] if chosen else []
+
+
 def main_text(page: str, path: int | None) -> str:
-    """Blocks inside containers of the given path; of the page's own best path if there is none such."""
+    """Blocks of the articles around containers of the given path; around the page's own best path if there is none such."""
     found = blocks(page)
-    inside = [t for n, t, _ in found if any(h.path == path for h in _holders(n))] if path is not None else []
+    inside = _inside(found, path) if path is not None else []
     if not inside and found:
         best = scored(found)
-        own = max(best, key=lambda p: (best[p], p))
-        inside = [t for n, t, _ in found if any(h.path == own for h in _holders(n))]
+        inside = _inside(found, max(best, key=lambda p: (best[p], p)))
     return "\n\n".join(inside)
 
 

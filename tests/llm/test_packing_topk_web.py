@@ -176,6 +176,25 @@ def test_host_consensus_moves_a_page(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_parts_beside_the_longest_container_stay(spark):
+    body = "<div class=body>" + "<p>Body text of the story goes on.</p>" * 9 + "</div>"
+    long = ["Body text of the story goes on."] * 9
+    layouts = {
+        "<body><article><h1>T</h1><p>lead</p>%s</article><div class=list><p>other</p></div></body>" % body: ["T", "lead", *long],
+        "<body><main><h1>T</h1><article><section class=intro><p>lead</p></section><section class=rest>%s</section></article></main><p>other</p></body>" % body: ["T", "lead", *long],
+        "<body><div class=post><h1>T</h1><div class=wrap><p>lead</p>%s</div></div><div class=list><p>other</p></div></body>" % body: ["T", "lead", *long],
+        "<body><div class=post><section class=intro><p>lead</p></section><section class=rest>%s</section></div><div class=list><p>other</p></div></body>" % body: ["lead", *long],
+        "<body><h1>T</h1><p>lead</p>%s<footer>other</footer></body>" % body: ["T", "lead", *long],
+        "<body><article><h1>T</h1><nav>menu</nav><p>lead</p>%s<div class=comments><p>other</p></div></article></body>" % body: ["T", "lead", *long],
+        "<body><p>other</p><div class=list><p>other</p></div>%s</body>" % body: long,
+    }
+    for page, want in layouts.items():
+        assert html_extract.main_text(page, None).split("\n\n") == want
+    rows = [(i, f"http://h{i // 2}.example/{i % 2}", page) for i, page in enumerate(p for p in layouts for _ in range(2))]
+    got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: layouts[page] for i, _, page in rows}
+
+
 def test_many_hosts_are_joined_without_a_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i}.example/", PAGE) for i in range(6)], "page_id long, url string, html string")
     one = sorted(r.text for r in html_extract.extract(df).collect())
