@@ -46,6 +46,8 @@ ENDS = {
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
+#: Searched in the page itself: lower-casing it may change its length.
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 class Node:
@@ -79,7 +81,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             text.clear()
         linked = link = 0
 
-    at, lower = 0, None
+    at = 0
     while True:
         m = _TAG.search(page, at)
         chunk = page[at : m.start()] if m else page[at:]
@@ -95,9 +97,8 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         closing = bool(m[1] or m[4])
         if tag in RAW:
             if not closing:
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = _RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if tag == "br":
             text.append(" ")

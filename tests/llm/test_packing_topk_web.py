@@ -176,6 +176,12 @@ def test_host_consensus_moves_a_page(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_they_end():
+    for n in (1, 3, 9, 40):
+        assert html_extract.main_text(f"<article><p>{'İ' * n}</p><script>'{'İ' * n}'</ScRipt ><p>kept words</p><style>p{{}}</style><p>too</p></article>", None) == f"{'İ' * n}\n\nkept words\n\ntoo"
+    assert html_extract.main_text("<article><p>a</p><script>'</ſcript>'</script><p>b</p></article>", None) == "a\n\nb"
+
+
 def test_parts_beside_the_longest_container_stay(spark):
     body = "<div class=body>" + "<p>Body text of the story goes on.</p>" * 9 + "</div>"
     long = ["Body text of the story goes on."] * 9
