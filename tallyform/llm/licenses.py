@@ -2,7 +2,8 @@
 
 A template is aligned with the words of a document around its cue words: words unique to both sides
 are the anchors, their longest increasing subsequence is kept, and the gaps between are aligned the
-same way. The share of the template's words that are matched is the coverage.
+same way; a gap without anchors (as in a notice that is repeated) is aligned by an exact longest common
+subsequence. The share of the template's words that are matched is the coverage.
 
 Cue words make the scan lossless: a template of m words that must be covered to ceil(share * m)
 words matches at least one of any m - ceil(share * m) + 1 of its words, and its longest such words
@@ -15,7 +16,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,6 +70,25 @@ def longest_rise(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """A longest common subsequence of (word, place) lists, as matched places."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below, w = size[i], size[i + 1], a[i][0]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if w == b[j][0] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while size[i][j]:
+        if a[i][0] == b[j][0]:
+            out.append((a[i][1], b[j][1]))
+            i, j = i + 1, j + 1
+        elif size[i + 1][j] > size[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places (in a, in b) in rising order. Gaps wait on a list, so depth is not bounded by a call stack."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -87,6 +107,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         unique = [(i, place[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place]
         anchors = [unique[i] for i in longest_rise([j for _, j in unique])]
         if not anchors:
+            out += common([(w, i) for i, w in enumerate(a[a0:a1], a0) if w in in_b], [(w, j) for j, w in enumerate(b[b0:b1], b0) if w in in_a])
             continue
         out += anchors
         for (x0, y0), (x1, y1) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)]):
@@ -95,6 +116,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _spread(place: tuple[int, int], hits: Iterable[tuple[int, int]]) -> bool:
+    """Whether shorter hits that don't overlap each other lie at a (first word, words) place: it mixes several copies."""
+    near = [(x, x + n) for x, n in hits if n < place[1] and x < place[0] + place[1] and x + n > place[0]]
+    return bool(near) and min(y for _, y in near) <= max(x for x, _ in near)
+
+
 class Scanner:
     """Templates with their cue words."""
 
@@ -127,17 +154,22 @@ class Scanner:
         for name, want, at, need in self.templates:
             starts = sorted({p - i for w, own in at.items() for p in places.get(w, ()) for i in own})
             slack, m, i = len(want) // 4 + 2, len(want), 0
+            bag, hits = Counter(want), {}
             while i < len(starts):
                 # Starts within one slack of each other belong to one place; a run of them is cut at a template's length.
                 j = i
                 while j + 1 < len(starts) and starts[j + 1] - starts[j] <= slack and starts[j + 1] - starts[i] <= m:
                     j += 1
                 a, b = max(0, starts[i] - slack), min(len(words), starts[j] + m + slack)
-                hit = align(want, words[a:b])
-                if len(hit) >= need:
-                    first, last = min(y for _, y in hit), max(y for _, y in hit)
-                    found.append((len(hit), name, round(len(hit) / m, 4), a + first, last - first + 1))
+                if sum((Counter(words[a:b]) & bag).values()) >= need:
+                    # The run as a whole, and a template's length from every start for copies that follow one another.
+                    for a, b in ((a, b), *((max(0, s), min(len(words), s + m)) for s in starts[i : j + 1])):
+                        hit = align(want, words[a:b])
+                        if len(hit) >= need:
+                            place = a + hit[0][1], hit[-1][1] - hit[0][1] + 1
+                            hits[place] = max(len(hit), hits.get(place, 0))
                 i = j + 1
+            found += [(n, name, round(n / m, 4), *place) for place, n in hits.items() if place[1] <= m or not _spread(place, hits)]
         taken: list[tuple[int, int]] = []
         out = []
         for _, name, share, first, n in sorted(found, key=lambda f: (-f[0], f[3], f[4], f[1])):

@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -274,6 +275,28 @@ def test_notices_are_found_where_they_stand():
     assert [g[0] for g in s.scan(licenses.TEMPLATES["Apache-2.0"])] == ["Apache-2.0"]
 
 
+def test_every_copy_of_a_repeated_notice_is_found():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        m = len(licenses.words_of(text))
+        for n in (2, 3, 7):
+            got = s.scan("x y " + " ".join([text] * n) + " z")
+            assert [g for g in got if g[0] == name] == got == [(name, 1.0, 2 + i * m, m) for i in range(n)]
+    worn = "Released under MIT License. Released under the fine MIT License. " * 3
+    assert [(g[1], g[3]) for g in s.scan(worn)] == [(0.8, 4), (1.0, 6)] * 3
+    assert [g[0] for g in s.scan("Released under the MIT License. Licensed under CC BY-NC 4.0. " * 3)] == ["MIT-line", "CC-BY-NC-4.0-line"] * 3
+
+
+def test_gaps_without_anchors_are_aligned_whole():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        got = licenses.common([(w, i) for i, w in enumerate(a)], [(w, j) for j, w in enumerate(b)])
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        best = max(n for n in range(10) for c in itertools.combinations(a, n) if all(w in it for it in [iter(b)] for w in c))
+        assert len(got) == best
+
+
 def test_every_template_is_found_alone():
     s = licenses.Scanner(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES.items():
