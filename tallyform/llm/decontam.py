@@ -25,11 +25,22 @@ from .common import SLICE_BYTES, slices, utf8_view, window_hashes, word_hashes,
 
 RATE, MIN_WORDS, BLOCK_BYTES = 0.2, 5, 8 << 20
 _NOT_WORD = re.compile(r"\W+")
+#: Characters of scripts that set no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo and han.
+_UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U000323af])")
+
+
+def spaced(text: str) -> str:
+    """text in lower case with a space for all that is no word, and around every character of an unspaced script."""
+    text = text.lower()
+    return _NOT_WORD.sub(" ", text if text.isascii() else _UNSPACED.sub(r" \1 ", text))
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of letters, digits and _, lower case) and the first word's number of each text."""
-    rows = [_NOT_WORD.sub(" ", t.lower()).encode("utf-8", "surrogatepass") for t in texts]
+    """Hashes of all words and the first word's number of each text.
+
+    Words are runs of letters, digits and _, lower case; each character of an unspaced script is one.
+    """
+    rows = [spaced(t).encode("utf-8", "surrogatepass") for t in texts]
     off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     raw = np.frombuffer(b"".join(rows), np.uint8)
     start, end, first = word_spans(raw, off)
@@ -145,9 +156,13 @@ class Index:
         return [sorted(o) for o in out]
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """One index for each block of about block_bytes of item text; a block is all that the driver holds."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, *, nameless: bool = False) -> Iterator[Index]:
+    """One index for each block of about block_bytes of item text; a block is all that the driver holds.
+
+    nameless takes items without an id too; all ids are 0 then.
+    """
+    ident = F.col(item_id).cast("long") if not nameless else F.lit(0).cast("long")
+    items = benchmark.select(ident.alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes)
     for b in range(blocks):
@@ -177,8 +192,8 @@ def _finder(shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, errors, first_word, end_word): the best place of each item in each row that holds it.
 
-    Items with fewer than min_words words are common phrases and take no part; neither do items or
-    texts that are null or have no words. Of equally good places the first is given. Rows of docs
+    Items with fewer than min_words words are common phrases and take no part (min_words=1 looks for
+    them too, unchanged); neither do items whose id or text is null or texts that have no words. Of equally good places the first is given. Rows of docs
     that repeat are judged one by one; of items with one id but several texts each is.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -201,8 +216,8 @@ def _cleaner(shared, at: int):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the rows that hold an item (see find_leaks); all columns are kept as they are."""
+    """docs without the rows that hold an item (see find_leaks), with an id or not; all columns are kept as they are."""
     out = docs
-    for x in indexes(benchmark, item_id, item_text, rate, min_words):
+    for x in indexes(benchmark, item_id, item_text, rate, min_words, nameless=True):
         out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(x), docs.columns.index(text)), docs.schema)
     return out

@@ -96,6 +96,25 @@ def test_leaks_against_brute_force(spark):
     assert kept.columns == fixture.empty(spark).columns
 
 
+def test_items_of_unspaced_scripts_are_found(spark):
+    items = [(1, "下列哪一项是正确的答案呢"), (2, "次のうち正しいものはどれですか"), (3, "ข้อใดต่อไปนี้เป็นคำตอบที่ถูกต้อง"), (4, "你好吗")]
+    docs = [(1, "前文很长很长，下列哪一项是正确的答案呢？后文"), (2, "文章。次のうち正しいものはどれですか。"), (3, "บทความ" + items[2][1] + "จบ"), (4, "他说你好吗然后走了"), (5, "下列哪一项是不正确的答案呢"), (6, "没有关系的另一段文字在这里")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = fixture.frame(spark, docs)
+    assert sorted((r.doc_id, r.item_id, r.errors) for r in decontam.find_leaks(frame, bench).collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 1, 1)]
+    assert sorted(r.doc_id for r in decontam.without_leaks(frame, bench).collect()) == [4, 6]
+    assert (4, 4) in {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, bench, min_words=1).collect()}
+    assert decontam.spaced("Ab, 한국어 é_1") == "ab 한국어 é_1"
+
+
+def test_items_without_an_id_are_leaks_too(spark):
+    text = "what is the answer to this question"
+    bench = spark.createDataFrame([(None, text), (1, "another item of at least five words"), (None, None)], "item_id long, text string")
+    frame = fixture.frame(spark, [(1, f"so {text} then"), (2, "nothing of that kind is in here"), (3, "another item of at least five words")])
+    assert [r.doc_id for r in decontam.without_leaks(frame, bench).collect()] == [2]
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, bench).collect()] == [(3, 1)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(9)
     items = spark.createDataFrame([(i, " ".join(fixture.words(rng, 20))) for i in range(30)], "item_id long, text string")
