@@ -227,6 +227,14 @@ def model(spark):
     return docs, langid.train(docs)
 
 
+def test_letters_of_all_planes_are_words(spark):
+    assert [langid.SCRIPT_NAMES[s] for s in langid.Words(["\U00030000\U0003134a", "\U00031350", "\U000323af"]).script] == ["han"] * 3
+    letter, _ = langid._tables()
+    assert all((letter[min(c, langid._TOP)] == 2) == (unicodedata.category(chr(c))[0] == "L") for c in range(0x2F000, 0x110000))
+    docs = fixture.frame(spark, [(1, "\U00030000\U00030001"), (2, "12")])
+    assert [r.doc_id for r in langid.keep_known(docs).collect()] == [1]
+
+
 def test_spans_of_mixed_text(spark):
     docs, m = model(spark)
     assert m.langs == ["ru", "xx", "yy"]
