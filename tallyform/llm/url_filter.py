@@ -1,67 +1,75 @@
 """URL verdicts: allow and block rules first, else logistic regression on hashed character n-grams.
 
 The model is fitted on the driver from a small labelled table of hosts and paths (an argument; a
-default is given), so its size is bounded by that table and by the number of hash buckets. Scoring
-runs over Arrow batches without a shuffle.
+default of about 450 lies beside this module), so its size is bounded by that table and by the number
+of hash buckets. Scoring runs over slices of Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix, slices
+
 BUCKETS, GRAMS, ROUNDS, RATE, DECAY, CUT = 1 << 16, (3, 4, 5), 200, 0.5, 1e-5, 0.5
 
 #: Rules of the production query: verdict and host with path prefix (fixed values).
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 
-#: Words of hosts and paths that unwanted pages carry, and words of ordinary ones.
-UNWANTED = "casino casinos jackpots winner bigwin poker betting bets slots jackpot lottery gambling roulette bingo wager odds adult porn xxx sex cams escort hookup nude pills viagra cialis pharmacy meds steroids spam linkfarm farm ads adserver banner popup track tracker tracking pixel click affiliate promo cheap replica loans payday crack keygen warez torrent phishing malware".split()
-ORDINARY = "news science history travel garden music library school university museum health recipes sports weather maps blog journal review article stories culture art books film city council research data open docs guide learn forum support photo nature energy transport economy law justice society family home design theatre magazine press archive gardening cooking reading writing hiking learning housing painting engineering building training cycling weaving sailing nursing window winter kitchen".split()
-
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, unwanted) rows made from the two word lists and common host and path shapes."""
-    out = []
-    def shape(i: int) -> str:
-        return f"/{('en', 'fr', 'de', 'es')[i // 3 % 4]}/{i}{('', '.html', '/')[i % 3]}"
-
-    for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
-        for i, w in enumerate(words):
-            v, u = words[(i * 7 + 3) % len(words)], words[(i * 11 + 5) % len(words)]
-            hosts = f"{w}.example.org www.{w}-{v}.example.com blog.{v}-{w}.example.net m.best-{w}.org {u}{w}.example.com {w}.com www.{w}.example.net m.{v}-{w}.example.org".split()
-            out += [(h, shape(i + j), label) for j, h in enumerate(hosts)]
-            out += [(f"{u}-online.net", f"/{w}/{v}", label), (f"www.{w}.org", "/", label), (f"blog.{u}.com", f"/{v}/{w}.html", label)]
-    out += [("", "", 0), ("", "/", 0)] * 4
-    # Made-up hosts: pronounceable strings say nothing, and neither do language or number paths.
-    onset, rime = "th st br m l r n s t p d f g k v w".split(), "an er in ion ou es at or is al en ar ble re".split()
-    for i in range(900):
-        name = "".join(onset[(i * (3 + 2 * j) + j) % len(onset)] + rime[(i * (5 + j) + 3 * j) % len(rime)] for j in range(2 + i % 2))
-        out.append((("", "www.", "blog.", "m.")[i % 4] + name + ".example" + (".com", ".net", ".org")[i % 3], shape(i), 0))
-    return out
+#: Labelled urls, one a line: 1 (unwanted) or 0, a space, the url. Lines with # are remarks.
+LABELLED = Path(__file__).with_name("labelled_urls.txt")
+_NUMBER = re.compile("[0-9]+")
+
+
+def labelled_urls(path: Path = LABELLED) -> list[tuple[str, str, int]]:
+    """(host, path, unwanted) rows of the table in this folder; the driver alone reads it."""
+    lines = [x for x in path.read_text(encoding="utf-8").split("\n") if x and not x.startswith("#")]
+    return [(*split_url(x[2:]), int(x[0])) for x in lines]
+
 
+def split_url(url: str | None) -> tuple[str, str]:
+    """Driver-side twin of host_path."""
+    _, at, rest = (url or "").partition("://")
+    host = re.match("[^/?#]*", rest)[0] if at else ""
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match("[^?#]*", rest[len(host) :])[0] if at else ""
 
-def gram_ids(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Sorted distinct buckets of the character n-grams of ^host/path$; host and path grams are told apart, numbers are not."""
-    got = set()
-    for mark, part in (("h", f"^{host}$"), ("p", f"^{path.lower()}$")):
-        raw = re.sub(r"[0-9]+", "0", part).encode("utf-8", "surrogatepass")
-        for n in GRAMS:
-            got.update(zlib.crc32(mark.encode() + raw[i : i + n]) % buckets for i in range(len(raw) - n + 1))
-    return np.array(sorted(got), np.int64)
+
+def grams(hosts: Sequence[str], paths: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct character n-grams of ^host$ and ^path$, by row; numbers count as 0.
+
+    All rows are hashed at once; grams of hosts and of paths are told apart.
+    """
+    parts = [_NUMBER.sub("0", f"^{x}$").encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths) for x in (h, p.lower())]
+    end = np.cumsum([len(x) for x in parts]) if parts else np.empty(0, np.int64)
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    part = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    keys = []
+    for n in GRAMS:
+        at = np.arange(max(len(raw) - n + 1, 0))
+        at = at[at + n <= end[part[at]]]
+        h = (part[at] & 1).astype(np.uint64) + np.uint64(2 * n)
+        for j in range(n):
+            h = h * np.uint64(0x100000001B3) + raw[at + j]
+        keys.append((part[at] // 2) * buckets + (mix(h) % np.uint64(buckets)).astype(np.int64))
+    key = np.concatenate(keys)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key // buckets, key % buckets
 
 
 def fit(rows: Sequence[tuple[str, str, int]], buckets: int = BUCKETS, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
@@ -73,10 +81,8 @@ def fit(rows: Sequence[tuple[str, str, int]], buckets: int = BUCKETS, rounds: in
     w = np.zeros(buckets + 1)
     if not rows:
         return w
-    grams = [gram_ids(h, p, buckets) for h, p, _ in rows]
-    size = np.array([max(len(g), 1) for g in grams])
-    col, row = np.concatenate(grams), np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-    val = 1.0 / np.sqrt(size[row])
+    row, col = grams([h for h, _, _ in rows], [p for _, p, _ in rows], buckets)
+    val = 1.0 / np.sqrt(np.bincount(row, minlength=len(rows))[row])
     y = np.array([float(label) for *_, label in rows])
     seen = np.full(buckets + 1, 1e-12)
     grad = np.empty(buckets + 1)
@@ -94,17 +100,26 @@ def default_model() -> np.ndarray:
     return fit(labelled_urls())
 
 
+def scores(w: np.ndarray, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+    """Chance that each url is unwanted."""
+    row, col = grams(hosts, paths, len(w) - 1)
+    size = np.maximum(np.bincount(row, minlength=len(hosts)), 1)
+    return 1 / (1 + np.exp(-(np.bincount(row, w[col], len(hosts)) / np.sqrt(size) + w[-1])))
+
+
 def score(w: np.ndarray, host: str, path: str) -> float:
-    g = gram_ids(host, path, len(w) - 1)
-    return float(1 / (1 + np.exp(-(w[g].sum() / np.sqrt(max(len(g), 1)) + w[-1]))))
+    return float(scores(w, [host], [path])[0])
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            got = [score(w, h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, "score"])
+            hosts, paths = batch.column("host"), batch.column("path")
+            size = np.asarray(pc.add(pc.binary_length(hosts), pc.binary_length(paths)), np.int64)
+            for a, b in slices(np.concatenate([[0], np.cumsum(size)])):
+                got = scores(w, hosts.slice(a, b - a).to_pylist(), paths.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(got, pa.float64())], [*batch.schema.names, "score"])
 
     return run
 
