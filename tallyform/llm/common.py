@@ -57,15 +57,20 @@ def _drop_own() -> None:
 atexit.register(_drop_own)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def own_folder(spark: SparkSession, path: str) -> str:
+    """path, which is removed when the driver's Python ends."""
+    _own_dirs.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage is cut and lost executors cost nothing.
 
-    The folder is removed when the driver's Python ends.
+    The folder, with one folder in it for each value of `by`, is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tallyform/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _own_dirs.append((spark, path))
+    path = own_folder(spark, f"{scratch_root(spark)}/tallyform/{name}-{uuid.uuid4().hex}")
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
