@@ -27,16 +27,21 @@ from .url_filter import host_path
 #: Hosts up to which the table of winners (two longs and a name each) is broadcast.
 FEW_HOSTS = 50_000
 
-RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center fieldset header footer nav aside form head dialog menu select option optgroup button label svg math object audio video canvas hgroup search legend".split())
-SKIP = frozenset("nav footer aside form head dialog menu select option optgroup button svg math object audio video canvas search".split())
+BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center fieldset header footer nav aside form head dialog menu option optgroup hgroup search legend".split())
+SKIP = frozenset("nav footer aside head dialog menu option optgroup search".split())
+#: Elements inside a line whose content is no text of the article; the line goes on after them.
+INLINE_SKIP = frozenset("svg object audio video canvas button select".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id values that mark what is not part of an article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations widget pagination pager toolbar skip paywall".split()
+#: Words of class and id values that mark what is not part of an article, those of reader comments apart.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations widget pagination pager toolbar skip paywall".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Words that may stand beside one of MARKS in a class or id (site-footer, comment-list); beside any other word it marks nothing (no-sidebar).
+BESIDE = frozenset("site page main global primary secondary top bottom left right header wrap wrapper container box block bar area section panel column col list item items body inner outer content contents unit slot zone links link buttons post posts article articles story stories user reader the and form in to js mobile desktop".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -45,16 +50,36 @@ ENDS = {
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[a-z]+")
+_NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Searched in the page itself: lower-casing it may change its length.
-_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+_RAW_END = {tag: re.compile(f"</{tag}(?![\\w-])", re.I | re.A) for tag in RAW | INLINE_SKIP}
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skip", "article", "score")
+    """An open element. mark is the nearest element around it, or itself, that its class, id or tag rules out unless it holds the article."""
 
-    def __init__(self, tag: str, path: int, parent: Node | None, skip: bool, article: bool) -> None:
+    __slots__ = ("tag", "path", "parent", "skip", "article", "score", "mark", "comments", "held", "whole")
+
+    def __init__(self, tag: str, path: int, parent: Node | None, skip: bool, article: bool, marked: bool = False, comments: bool = False) -> None:
         self.tag, self.path, self.parent, self.skip, self.article, self.score = tag, path, parent, skip, article, 0
+        self.mark, self.comments, self.held, self.whole = self if marked else parent.mark if parent else None, comments, 0, False
+
+    def marks(self) -> Iterator[Node]:
+        node = self.mark
+        while node is not None:
+            yield node
+            node = node.parent.mark if node.parent else None
+
+
+def marks_of(names: str) -> set[str]:
+    """MARKS in class or id values. A name counts whole: all its words are of MARKS or BESIDE."""
+    out: set[str] = set()
+    for name in names.split():
+        words = {w.lower() for w in _NAME_WORD.findall(name)}
+        if words <= MARKS | BESIDE:
+            out |= words & MARKS
+    return out
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -67,26 +92,33 @@ def _path(parent: int, key: str) -> int:
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(innermost container, text, characters inside links) of every block of text, in page order."""
+    """(innermost container, text, characters inside links) of every block of text that is not ruled out, in page order."""
     root = Node("", 0, None, False, False)
     top, out, text = root, [], []
     link = linked = 0
+    plain = False  # whether article, main or h1 stands outside of marked elements
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked, link
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             if joined and not top.skip:
                 out.append((top, joined, min(linked, len(joined))))
             text.clear()
         linked = link = 0
 
+    def ends_later(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in _RAW_END[tag].finditer(page)), default=-1)
+        return at <= last_end[tag]
+
     at = 0
     while True:
         m = _TAG.search(page, at)
         chunk = page[at : m.start()] if m else page[at:]
         if chunk:
-            text.append(chunk)
+            text.append(html.unescape(chunk))
             linked += len(chunk) if link else 0
         if not m:
             break
@@ -94,13 +126,16 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
+        closing, raw = bool(m[1] or m[4]), m[3] or m[6] or ""
+        empty = not closing and bool(_SELF_CLOSED.search(raw))
         if tag in RAW:
-            if not closing:
+            if not closing and not (empty and tag.startswith("annotation")):
                 end = _RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
-            continue
-        if tag == "br":
+        elif tag in INLINE_SKIP:
+            if not closing and not empty and ends_later(tag, at):
+                at = _RAW_END[tag].search(page, at).start()
+        elif tag == "br":
             text.append(" ")
         elif tag == "hr":
             flush()
@@ -119,18 +154,43 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             flush()
             while top is not root and (top.tag == "p" or top.tag in HEADING and tag in HEADING or tag in ENDS.get(top.tag, ())):
                 top = top.parent
-            got = _attributes(m[3] or m[6] or "")
-            names = got.get("class", "").lower()
-            words = set(_WORD.findall(names + " " + got.get("id", "").lower()))
-            article = top.article or tag in ("article", "main")
-            skip = tag in SKIP or tag == "header" and not article or bool(words & MARKS) and tag not in ("html", "body")
-            skip = skip or got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-            key = f"{tag}.{'.'.join(sorted(re.sub('[0-9]+', '', c) for c in names.split()))}" if names else tag
-            top = Node(tag, _path(top.path, key), top, top.skip or skip or top.tag == "header" and tag not in HEADING, article)
-            if tag == "header":
-                top.skip = top.parent.skip or not article
+            if empty:
+                continue
+            got = _attributes(raw)
+            names = got.get("class", "")
+            body = tag in ("article", "main")
+            role = got.get("role", "").lower()
+            marks = marks_of(names + " " + got.get("id", ""))
+            if tag == "h1" or body and not top.article and not marks & COMMENTS:
+                plain = plain or top.mark is None and not top.skip
+                for node in top.marks():
+                    node.whole = node.whole or body or not node.comments
+            if tag in ("html", "body") or body and not top.article:
+                marks = set()
+            skip = tag in SKIP or tag == "header" and not top.article or top.tag == "header" and tag not in HEADING or role in ROLES
+            skip = skip or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
+            key = f"{tag}.{'.'.join(sorted(re.sub('[0-9]+', '', c) for c in names.lower().split()))}" if names else tag
+            top = Node(tag, _path(top.path, key), top, top.skip or skip, top.article or body, bool(marks) or tag == "form" or role == "form", bool(marks & COMMENTS))
     flush()
-    return [b for b in out if not (b[0].tag == "header")]
+    return _unmarked([b for b in out if b[0].tag != "header"], plain)
+
+
+def _unmarked(found: list[tuple[Node, str, int]], plain: bool) -> list[tuple[Node, str, int]]:
+    """Blocks outside of marked elements.
+
+    A mark is void where the element holds most of the page's running text and article, main or h1 too,
+    or where the page has none of these outside of marks; one that marks reader comments has to hold article or main.
+    """
+    total = 0
+    for node, text, linked in found:
+        total += len(text) - linked
+        for mark in node.marks():
+            mark.held += len(text) - linked
+
+    def void(mark: Node) -> bool:
+        return mark.held * 2 > total and (mark.whole or not mark.comments and not plain)
+
+    return [b for b in found if all(map(void, b[0].marks()))]
 
 
 def _holders(node: Node) -> Iterator[Node]:
@@ -235,7 +295,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
 
     Null or empty pages, and pages without text, have text "" and n_chars 0. Pages whose url is null
     or has no :// form one host. Rows repeat and stay. No text of a chosen container is dropped or cut
-    but what MARKS, ROLES and SKIP name.
+    but what MARKS, ROLES, SKIP, INLINE_SKIP and RAW name, and forms.
     """
     best = materialize(host_paths(pages, url, page), "host-paths")
     own = [c for c in pages.columns if c not in (page, "text", "n_chars")]
