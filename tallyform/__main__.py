@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import platform
 import sys
 from datetime import date, datetime, timezone
 from pathlib import Path
@@ -93,12 +94,12 @@ def run(a: argparse.Namespace) -> None:
         sys.exit(f"No provider is available: {left_out}")
     off = {"classify": a.no_classify, "extract_text": a.no_text, "extract_portrait": a.no_portrait}
     ops = tuple(c for c in catalog.CAPABILITIES if not off.get(c))
-    evidence = benchmark.run(texts, io.read_expected(spark, f"{a.dataset}/expected"), chosen, ops)
+    evidence = benchmark.run(texts, io.read_expected(spark, f"{a.dataset}/expected"), chosen, ops, images=read)
     run_id = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     out = Path(a.results, run_id)
     out.mkdir(parents=True, exist_ok=True)
     n = io.write_array(evidence, str(out / "results.json"))
-    meta = {"run_id": run_id, "manifest": path, "sample_count": samples.count(), "providers_requested": names, "unavailable": left_out, "ops": list(ops)}
+    meta = {"run_id": run_id, "manifest": path, "manifest_name": Path(path).stem, "platform": platform.platform(), "python": platform.python_version(), "sample_count": samples.count(), "providers_requested": names, "unavailable": left_out, "ops": list(ops)}
     (out / "run_meta.json").write_text(json.dumps(meta, indent=2), encoding="utf-8")
     done = io.read_evidence(spark, str(out / "results.json"))
     for h in report.run_health(done).collect():

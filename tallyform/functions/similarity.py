@@ -34,20 +34,27 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
+def _ratio(x: str | None, y: str | None, seen: dict[tuple[str, str], float]) -> float | None:
+    if x is None or y is None:
+        return None
+    if (x, y) not in seen:
+        total = len(x) + len(y)
+        seen[x, y] = 2.0 * lcs_length(x, y) / total if total else 1.0
+    return seen[x, y]
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (len + len) as 0..1; null if either side is; two empty texts are equal."""
     seen: dict[tuple[str, str], float] = {}
+    return pd.Series([_ratio(x, y, seen) for x, y in zip(a, b)], dtype="float64")
 
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        if (x, y) not in seen:
-            total = len(x) + len(y)
-            seen[x, y] = 2.0 * lcs_length(x, y) / total if total else 1.0
-        return seen[x, y]
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """indel_ratio of each pair of two equally long arrays."""
+    seen: dict[tuple[str, str], float] = {}
+    return pd.Series([None if x is None else [_ratio(p, q, seen) for p, q in zip(x, y)] for x, y in zip(a, b)], dtype="object")
 
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,29 +13,55 @@ from tallyform.operators import score
 from tallyform.plans import catalog
 from tallyform.sources.providers import Provider
 
-OUT = ("candidate", "sample_id", "document_type", "capture_condition", "expected", "image_ok", "classification", "text", "fields", "schema_followed", "portrait", "skipped", "latency_ms", "error", "error_code")
+OUT = ("candidate", "sample_id", "document_type", "capture_condition", "image_ok", "classification", "text", "fields", "schema_followed", "portrait", "skipped", "latency_ms", "error", "error_code")
 
+#: What an operation leaves behind where it was not run.
+BLANK = {
+    "classify": {"classification": "cast(null as struct<document_type:string,confidence:double>)"},
+    "extract_text": {"text": "''"},
+    "extract_fields": {"fields": "cast(map() as map<string,string>)", "schema_followed": "false"},
+    "extract_portrait": {"portrait": "cast(null as struct<available:boolean,quality_score:double>)"},
+}
 
-def run(samples: DataFrame, expected: DataFrame, providers: dict[str, Provider], ops: tuple[str, ...] = tuple(catalog.CAPABILITIES)) -> DataFrame:
-    """Evidence rows of every provider on every sample.
 
-    providers maps candidate names to functions; names outside the catalog get its defaults. An
-    operation that is not asked for leaves no trace: no class, no text, no fields, no portrait.
-    Ground truth columns that the samples happen to carry are kept from the providers.
+def run(
+    samples: DataFrame,
+    expected: DataFrame,
+    providers: dict[str, Provider],
+    ops: tuple[str, ...] = tuple(catalog.CAPABILITIES),
+    images: DataFrame | None = None,
+    capabilities: dict[str, Iterable[str]] | None = None,
+    created_at: str | None = None,
+) -> DataFrame:
+    """Evidence rows of every provider on every sample, one for each row of samples, ids repeated or not.
+
+    providers maps candidate names to functions, in the order that breaks ties; names outside the
+    catalog get its defaults. An operation that is not asked for leaves no trace: no class, no text, no
+    fields, no portrait. capabilities names what a provider can do, if not everything; the rest of what
+    is asked for is listed as skipped. With `images` (image_path), a sample whose image is not among
+    them is reported as INVALID_IMAGE. Ground truth columns that the samples happen to carry are kept
+    from the providers; of several ground truths with one id any counts. created_at is the current time
+    by default.
     """
     samples = samples.drop("fields", "required_fields", "portrait_present", "portrait_bbox")
-    truth = expected.select("sample_id", F.struct("fields", "required_fields", "portrait_present").alias("expected"))
+    if images is not None:
+        here = images.select("image_path").distinct().withColumn("image_ok", F.lit(True))
+        samples = samples.drop("image_ok").join(here, "image_path", "left").withColumn("image_ok", F.coalesce("image_ok", F.lit(False)))
+    truth = expected.select("sample_id", F.struct("fields", "required_fields", "portrait_present").alias("expected")).groupBy("sample_id").agg(F.any_value("expected").alias("expected"))
     parts = []
-    for name, f in providers.items():
-        got = f(samples).withColumn("candidate", F.lit(name))
-        if "classify" not in ops:
-            got = got.withColumn("classification", F.lit(None).cast("struct<document_type:string,confidence:double>"))
-        if "extract_text" not in ops:
-            got = got.withColumn("text", F.lit(""))
-        if "extract_fields" not in ops:
-            got = got.withColumn("fields", F.create_map().cast("map<string,string>")).withColumn("schema_followed", F.lit(False))
-        if "extract_portrait" not in ops:
-            got = got.withColumn("portrait", F.lit(None).cast("struct<available:boolean,quality_score:double>"))
-        parts.append(got.select(*[c for c in OUT if c != "expected"]))
+    for i, (name, f) in enumerate(providers.items()):
+        got = f(samples).withColumns({"candidate": F.lit(name), "ordinal": F.lit(i)})
+        can = catalog.CAPABILITIES if capabilities is None else list(capabilities.get(name, catalog.CAPABILITIES))
+        for op, blank in BLANK.items():
+            if op not in ops or op not in can:
+                got = got.withColumns({c: F.expr(x) for c, x in blank.items()})
+        asked = F.array(*map(F.lit, [op for op in catalog.CAPABILITIES if op in ops])).cast("array<string>")
+        lacks = score.skipped_capabilities(asked, F.array(*map(F.lit, can)).cast("array<string>"))
+        got = got.withColumn("skipped", F.array_distinct(F.concat(F.coalesce("skipped", F.array().cast("array<string>")), lacks)))
+        for c, kind in score.OPTIONAL.items():
+            if c not in got.columns:
+                got = got.withColumn(c, F.lit(None).cast(kind))
+        parts.append(got.select(*OUT, *score.OPTIONAL))
     runs = reduce(DataFrame.unionByName, parts).join(truth, "sample_id", "left")
-    return score.score_runs(runs, catalog.provider_catalog(samples.sparkSession)).fillna({"cost_estimate": "medium", "license_status": "needs_review", "on_prem": True})
+    now = created_at or datetime.now(timezone.utc).isoformat()
+    return score.score_runs(runs, catalog.provider_catalog(samples.sparkSession), now).fillna({"cost_estimate": "medium", "license_status": "needs_review", "on_prem": True})

@@ -46,26 +46,41 @@ def keyword_class(text: Column | str, keywords: dict[str, list[str]] | None = No
 
 def answer_class(answer: Column | str) -> Column:
     """struct(document_type, label, confidence) of a JSON answer; an unknown or missing type is `unknown`."""
-    doc = json_object(answer)
-    label = N.strip(F.lower(F.coalesce(F.get_json_object(doc, "$.documentType"), F.lit("unknown"))))
+    doc = F.from_json(json_object(answer), "documentType string, confidence string", _STRICT)
+    label = N.strip(F.lower(F.coalesce(doc["documentType"], F.lit("unknown"))))
     return F.struct(
         F.when(label.isin(catalog.DOCUMENT_TYPES), label).otherwise("unknown").alias("document_type"),
         label.alias("label"),
-        F.coalesce(F.get_json_object(doc, "$.confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
+        F.coalesce(doc["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
     )
 
 
 # ---------------------------------------------------------------- JSON answers
 
 
+#: JSON as the evaluated format takes it: double quotes only; NaN and repeated keys are allowed.
+_STRICT = {"allowSingleQuotes": "false"}
+#: The first object inside a code fence (fixed value).
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
+
+def _parsed(text: Column) -> Column:
+    """Entries (key, value) of one JSON object in order, values as text; null if the text is not just one object.
+
+    The object is read as the only element of an array, so that whatever follows it is an error.
+    """
+    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
+    return F.when(F.size(got) == 1, F.map_entries(F.element_at(got, 1)))
+
+
 def json_object(answer: Column | str) -> Column:
     """Text of the first fenced JSON object, else from the first { to the last }; null if it does not parse."""
     t = F.col(answer) if isinstance(answer, str) else answer
-    fenced = F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(t, FENCED, 1), F.lit(""))
     first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
     spanned = F.when((first > 0) & (F.instr(t, "}") > 0) & (last > first), F.substring(t, first, last - first + 1))
     found = F.coalesce(fenced, spanned)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    return F.when(_parsed(found).isNotNull(), found)
 
 
 def _targets() -> Column:
@@ -81,26 +96,31 @@ def json_fields(answers: DataFrame, answer: str = "answer", document_type: str =
     """answers with `fields` (map of name to struct(value, confidence)) and `schema_followed`.
 
     Keys are normalized and led to the schema's fields by name or alias; the first key of a field
-    wins even if its value is null. A missing full_name is put together from its parts. Null, empty
-    and "null" values are dropped. schema_followed is true wherever the answer parses.
+    wins even if its value is null, and of a key that is repeated as it is the last value counts, in
+    its first place. A missing full_name is put together from its parts. Null, empty and "null" values
+    are dropped; a text that looks like an object is a text. schema_followed is true wherever the answer parses.
     """
-    raw = F.from_json(F.col("_json"), "map<string,string>")
-    entries = F.map_entries(F.coalesce(F.col("_raw"), F.create_map().cast("map<string,string>")))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    each = F.array_distinct(F.transform("_raw", lambda x: x["key"]))
+    entries = F.transform(each, lambda k: F.element_at(F.filter("_raw", lambda x: x["key"] == k), -1))
 
     def entry(x: Column) -> Column:
-        nested = F.ltrim(x["value"]).startswith("{")
+        # An object stands in the answer as such; a text of the same characters stands there quoted.
+        quoted = F.regexp_replace(F.to_json(F.struct(x["value"].alias("v"))), r"^\{\"v\":|\}$", "")
+        object_ = F.when(F.ltrim(x["value"]).startswith("{") & ~F.contains(F.col("_json"), quoted) & _parsed(x["value"]).isNotNull(), x["value"])
+        inner = F.from_json(object_, "value string, confidence string", _STRICT)
         return F.struct(
             F.try_element_at(F.col("_targets"), F.concat(F.col(document_type), F.lit("|"), N.key(x["key"]))).alias("field"),
-            F.when(nested, F.get_json_object(x["value"], "$.value")).otherwise(x["value"]).alias("value"),
-            F.when(nested, F.coalesce(F.get_json_object(x["value"], "$.confidence").try_cast("double"), F.lit(0.0))).otherwise(0.0).alias("confidence"),
+            F.when(object_.isNotNull(), inner["value"]).otherwise(x["value"]).alias("value"),
+            F.coalesce(inner["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
         )
 
     def first_only(acc: Column, x: Column) -> Column:
         return F.when(x["field"].isNull() | F.exists(acc, lambda y: y["field"] == x["field"]), acc).otherwise(F.concat(acc, F.array(x)))
 
     empty = F.array().cast("array<struct<field:string,value:string,confidence:double>>")
-    out = answers.withColumn("_json", json_object(answer)).withColumn("_raw", raw).withColumn("_targets", _targets())
-    out = out.withColumn("_got", F.aggregate(F.transform(entries, entry), empty, first_only))
+    out = answers.withColumn("_json", json_object(answer)).withColumn("_raw", F.coalesce(_parsed(F.col("_json")), none)).withColumn("_raw", entries).withColumn("_targets", _targets())
+    out = out.withColumn("_got", F.aggregate(F.transform("_raw", entry), empty, first_only))
     def part(f: str) -> Column:
         return F.nullif(F.try_element_at(F.filter("_got", lambda y: y["field"] == f), F.lit(1))["value"], F.lit(""))
 
@@ -169,6 +189,7 @@ def labelled_fields(text: Column | str, document_type: Column | str) -> Column:
         types = [k for k, own in catalog.SCHEMAS.items() if field in own]
         return F.struct(F.lit(field).alias("key"), F.when(kind.isin(types), F.regexp_extract(t, pattern, 1)).alias("value"))
 
+    # fixed values
     fall = F.array(late("nin", rf"(?<![{N.WORD}])([0-9]{{11}})(?![{N.WORD}])"), late("bvn", r"(?i)bvn[^0-9]{0,16}([0-9]{11})"))
     lines_ = _once(_labels_of(kind), lambda labels: F.transform(lines(t), tagged(labels)))
     hits = _once(lines_, lambda all_: F.concat(F.transform(all_, hit(all_)), fall))
@@ -193,7 +214,7 @@ def plain_value(field: str, text: Column | str, split: Column | None = None) ->
     the text's lines.
     """
     t = F.col(text) if isinstance(text, str) else text
-    patterns = {
+    patterns = {  # fixed values
         "nin": rf"(?<![{N.WORD}])([0-9]{{11}})(?![{N.WORD}])",
         "bvn": r"(?i)bvn[^0-9]{0,12}([0-9]{11})",
         "passport_number": rf"(?<![{N.WORD}])([A-Z][0-9]{{8}})(?![{N.WORD}])",

@@ -20,7 +20,8 @@ def dataset_problems(samples: DataFrame, images: DataFrame, expected: DataFrame,
     samples has pos, sample_id and image_path, images has image_path, expected has sample_id.
     """
     base = samples.select(F.col(order).alias("pos"), "sample_id", "image_path")
-    dup = duplicates(base, order="pos").select("pos", "sample_id", F.lit(0).alias("k"), F.concat(F.lit("duplicate sample_id: "), "sample_id").alias("problem"))
+    first = base.groupBy("sample_id").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dup = base.join(first, "sample_id").where("pos > first").select("pos", "sample_id", F.lit(0).alias("k"), F.concat(F.lit("duplicate sample_id: "), "sample_id").alias("problem"))
     img = base.join(images.select("image_path").distinct(), "image_path", "left_anti").select("pos", "sample_id", F.lit(1).alias("k"), F.concat(F.lit("missing image for "), "sample_id", F.lit(": "), "image_path").alias("problem"))
     exp = base.join(expected.select("sample_id").distinct(), "sample_id", "left_anti").select("pos", "sample_id", F.lit(2).alias("k"), F.concat(F.lit("missing expected for "), "sample_id").alias("problem"))
     return dup.unionByName(img).unionByName(exp).orderBy("pos", "k").select("pos", "sample_id", "problem")

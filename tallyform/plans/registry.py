@@ -1,6 +1,7 @@
 """Queries over the driver's tables, each with the SQL that checks it.
 
-Every query runs over its whole tables. The flagship is evidence_summary.
+Every query runs over its whole tables; a few have fixed dimensions or published figures for input and
+read none. The flagship is evidence_summary.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ FROM ev WHERE latency_ms <> 0 GROUP BY candidate, document_type"""
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact interpolated percentiles without zero latencies."""
     e = evidence(spark, sf_dir).where("latency_ms <> 0")
-    return e.groupBy("candidate", "document_type").agg(report.percentile(F.col("latency_ms"), 0.5).alias("p50"), report.percentile(F.col("latency_ms"), 0.95).alias("p95"))
+    return report.percentiles(e, ["candidate", "document_type"], F.col("latency_ms"), {"p50": 0.5, "p95": 0.95})
 
 
 @query(
@@ -621,12 +622,7 @@ def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS candidate, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY event_type")
 def streaming_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence read as a stream, appended as it comes, and summed from what was appended."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyform-")
-    import uuid
-
-    base = f"{root.rstrip('/')}/tallyform/stream-{uuid.uuid4().hex}"
+    base = io.scratch(spark, "stream")
     src = table(spark, sf_dir, "events")
     path = f"{sf_dir}/events.parquet"
     live = spark.readStream.schema(src.schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.startswith("/") or Path(path).is_dir() else f"{sf_dir}/events.parq*")
@@ -634,3 +630,176 @@ def streaming_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.append(rows, f"{base}/out", f"{base}/state", once=True).awaitTermination()
     done = spark.read.schema("candidate string, sampleId long, errorCode string").json(f"{base}/out")
     return done.groupBy("candidate").agg(F.count("*").alias("n"), F.count("errorCode").alias("errors"))
+
+
+# ---------------------------------------------------------------- runs over the tables
+
+_RUN_SQL = """
+s AS (SELECT CAST(d.doc_id // 2 AS VARCHAR) AS sample_id, d.doc_id, source AS image_path, CASE WHEN doc_id % 3 = 0 THEN 'passport' ELSE 'nin_slip' END AS document_type,
+    CASE WHEN doc_id % 2 = 0 THEN 'glare' ELSE 'mobile' END AS capture_condition FROM documents d),
+i AS (SELECT DISTINCT 'src' || (page_id % 15) AS image_path FROM pages),
+e AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, max(doc_id % 4) AS m FROM labels GROUP BY doc_id),
+r AS (SELECT s.*, e.sample_id IS NULL AS missing, e.sample_id IS NOT NULL AND s.image_path NOT IN (SELECT image_path FROM i) AS bad, m FROM s LEFT JOIN e USING (sample_id))"""
+
+
+def _table_run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """A run of two candidates over samples with repeated ids, missing images and missing ground truth."""
+    i = F.col("doc_id")
+    samples = table(spark, sf_dir, "documents").select(
+        F.floor(i / 2).cast("string").alias("sample_id"), F.when(i % 3 == 0, "passport").otherwise("nin_slip").alias("document_type"), F.col("source").alias("image_path"), F.when(i % 2 == 0, "glare").otherwise("mobile").alias("capture_condition")
+    )
+    images = table(spark, sf_dir, "pages").select(F.concat(F.lit("src"), F.col("page_id") % 15).alias("image_path"))
+    m = i % 4
+    said = F.when(m == 0, "MOCK VALUE").when(m == 1, "value mock").when(m == 2, "").otherwise("nothing")
+    truth = table(spark, sf_dir, "labels").select(
+        i.cast("string").alias("sample_id"), F.create_map(F.lit("surname"), said, F.lit("tracking_id"), said).alias("fields"), F.when(m < 2, F.array(F.lit("surname"), F.lit("nin"))).otherwise(F.array().cast("array<string>")).alias("required_fields"), (m != 3).alias("portrait_present")
+    )
+    return benchmark.run(samples, truth, {"zeta": providers.mock, "mock": providers.mock}, images=images, created_at="2026-01-01T00:00:00+00:00", **more)
+
+
+#: The mock's only field is tracking_id for nin_slip and surname for passport; similarity of VALUE MOCK and NOTHING is fixed by their letters.
+_FIELD_SCORE = "CASE WHEN k = 'number' THEN (m = 0)::INT::DOUBLE ELSE CASE m WHEN 0 THEN 1e0 WHEN 1 THEN {swap}e0 WHEN 2 THEN 0e0 ELSE {other}e0 END END"
+
+
+@query(
+    f"""WITH {_RUN_SQL}, k AS (SELECT *, CASE WHEN document_type = 'passport' THEN 'name' ELSE 'number' END AS k FROM r),
+f AS (SELECT *, {_FIELD_SCORE.format(swap="1", other="0.118")} AS one FROM k),
+c AS (SELECT * FROM (VALUES ('zeta', 0, 'medium', 'needs_review'), ('mock', 1, 'low', 'approved')) v(candidate, ordinal, cost_estimate, license_status))
+SELECT candidate, CAST(ordinal AS INTEGER) AS ordinal, sample_id, document_type, CASE WHEN missing THEN 'clean' ELSE capture_condition END AS capture_condition,
+  CASE WHEN missing THEN 'MISSING_EXPECTED' WHEN bad THEN 'INVALID_IMAGE' END AS error_code, CASE WHEN NOT missing AND NOT bad THEN document_type = 'nin_slip' END AS classification_correct,
+  CASE WHEN missing OR bad THEN 0e0 ELSE round_even(one / 2, 4) END AS field_accuracy, CASE WHEN missing OR bad THEN 0e0 WHEN document_type = 'passport' AND m < 2 THEN round_even((one >= 0.85e0)::INT / 2e0, 4) ELSE 0e0 END AS required_field_recall,
+  NOT missing AND NOT bad AS schema_followed, NOT missing AND NOT bad AND m <> 3 AS portrait_expected, false AS portrait_extracted, CASE WHEN missing OR bad THEN 0 ELSE 9 END AS text_char_count,
+  CASE WHEN NOT missing AND NOT bad AND m <> 3 THEN ['expected portrait not extracted'] ELSE []::VARCHAR[] END AS notes, cost_estimate, license_status, '2026-01-01T00:00:00+00:00' AS created_at
+FROM f CROSS JOIN c"""
+)
+def table_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of a run with repeated sample ids, invalid images and missing ground truth."""
+    return _table_run(spark, sf_dir).select(
+        "candidate", "ordinal", "sample_id", "document_type", "capture_condition", "error_code", "classification_correct", "field_accuracy", "required_field_recall", "schema_followed",
+        "portrait_expected", "portrait_extracted", "text_char_count", "notes", "cost_estimate", "license_status", "created_at",
+    )
+
+
+@query(
+    f"""WITH {_RUN_SQL} SELECT c AS candidate, sample_id, document_type, CASE WHEN missing OR bad THEN []::VARCHAR[]
+  WHEN m <> 3 THEN [CASE c WHEN 'mock' THEN 'skipped: extract_text' ELSE 'skipped: classify, extract_portrait' END, 'expected portrait not extracted'] ELSE [CASE c WHEN 'mock' THEN 'skipped: extract_text' ELSE 'skipped: classify, extract_portrait' END] END AS notes,
+  CASE WHEN c = 'mock' AND NOT missing AND NOT bad THEN document_type = 'nin_slip' END AS classification_correct, CASE WHEN c = 'zeta' AND NOT missing AND NOT bad THEN 9 ELSE 0 END AS text_char_count
+FROM r CROSS JOIN (VALUES ('zeta'), ('mock')) v(c)"""
+)
+def skipped_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose candidates lack operations."""
+    can = {"zeta": ["extract_text", "extract_fields", "assess_quality"], "mock": ["classify", "extract_fields", "extract_portrait", "assess_quality"]}
+    return _table_run(spark, sf_dir, capabilities=can).select("candidate", "sample_id", "document_type", "notes", "classification_correct", "text_char_count")
+
+
+@query(
+    f"""WITH {_RUN_SQL}, n AS (SELECT count(*) AS n FROM r) SELECT candidate, CAST(rank AS INTEGER) AS rank, n FROM n CROSS JOIN (VALUES ('zeta', 1), ('alpha', 2), ('mid', 3)) v(candidate, rank)"""
+)
+def rank_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with equal scores keep their order in the run, whatever their names."""
+    one = _table_run(spark, sf_dir).where("candidate = 'zeta'").drop("candidate", "ordinal")
+    names = spark.createDataFrame([("mid", 2), ("zeta", 0), ("alpha", 1)], "candidate string, ordinal int")
+    return report.rank(report.summarize(one.crossJoin(F.broadcast(names)))).select("candidate", "rank", "n")
+
+
+_KEYWORD_TEXT = "CASE p_partkey % 5 WHEN 0 THEN 'Nigeria NIN SLIP by NIMC ' WHEN 1 THEN 'driver: statement of account ' WHEN 2 THEN 'ACCOUNT OPENING mandate, BVN ' WHEN 3 THEN 'electricity bill, national id ' ELSE '' END || p_name"
+
+
+@query(
+    f"WITH t AS (SELECT p_partkey, lower({_KEYWORD_TEXT}) AS t FROM part), h AS (SELECT p_partkey, "
+    + ", ".join("(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + f") AS {k}" for k, words in catalog.KEYWORDS.items())
+    + " FROM t), b AS (SELECT *, greatest(" + ", ".join(catalog.KEYWORDS) + ") AS hits FROM h) SELECT p_partkey, CASE WHEN hits = 0 THEN 'unknown' "
+    + " ".join(f"WHEN {k} = hits THEN '{k}'" for k in catalog.KEYWORDS)
+    + " END AS document_type, CAST(hits AS INTEGER) AS hits, CASE WHEN hits > 0 THEN least(0.4e0 + 0.2e0 * hits, 0.9e0) ELSE 0e0 END AS confidence FROM b"
+)
+def keyword_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword classifier with the catalog's own keywords."""
+    v = table(spark, sf_dir, "part").select("p_partkey", extract.keyword_class(F.expr(_KEYWORD_TEXT)).alias("c"))
+    return v.select("p_partkey", "c.document_type", "c.hits", "c.confidence")
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_id % 6 AS m, json_extract_string(props, '$.k') AS k FROM events),
+r AS (SELECT event_id, m, unnest(CASE m
+    WHEN 0 THEN [{'field': 'nin', 'value': '9' || k, 'confidence': 0e0}, {'field': 'surname', 'value': 'A', 'confidence': 0e0}]
+    WHEN 1 THEN [{'field': 'surname', 'value': '{' || k, 'confidence': 0e0}, {'field': 'nin', 'value': 'x', 'confidence': 0.5e0}]
+    WHEN 2 THEN [{'field': 'tracking_id', 'value': k, 'confidence': 0e0}]
+    WHEN 3 THEN [{'field': 'address', 'value': '{"value":"' || k || '"}', 'confidence': 0e0}]
+    WHEN 4 THEN [{'field': 'nin', 'value': k, 'confidence': 0.25e0}]
+    ELSE [{'field': NULL, 'value': NULL, 'confidence': NULL}] END) AS x FROM e)
+SELECT event_id, x.field AS field, x.value AS value, x.confidence AS confidence, m <> 5 AS schema_followed FROM r"""
+)
+def json_oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated keys, texts that look like objects, NaN, and text after the object in JSON answers."""
+    e = table(spark, sf_dir, "events")
+    m, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    answer = (
+        F.when(m == 0, F.concat(F.lit('{"nin":"1","surname":"A","nin":"9'), k, F.lit('"}')))
+        .when(m == 1, F.concat(F.lit('{"surname": "{'), k, F.lit('", "nin": {"value": "x", "confidence": 0.5}}')))
+        .when(m == 2, F.concat(F.lit('{"tracking": "'), k, F.lit('", "extra": NaN, "other": -Infinity}')))
+        .when(m == 3, F.concat(F.lit('{"address": "{\\"value\\":\\"'), k, F.lit('\\"}"}')))
+        .when(m == 4, F.concat(F.lit('{"nin": {"value": "0", "value": "'), k, F.lit('", "confidence": 0.25}}')))
+        .otherwise(F.concat(F.lit('{"nin": "'), k, F.lit('"} and {"surname": "B"}')))
+    )
+    out = extract.json_fields(e.select("event_id", F.lit("nin_slip").alias("document_type"), answer.alias("answer")))
+    return out.select("event_id", "schema_followed", F.explode_outer("fields").alias("field", "v")).select("event_id", "field", F.col("v.value").alias("value"), F.col("v.confidence").alias("confidence"), "schema_followed")
+
+
+# ---------------------------------------------------------------- files written and read back
+
+
+@query(
+    f"""WITH {EVIDENCE_SQL} SELECT candidate, CAST(sample_id AS VARCHAR) AS sample_id, document_type, capture_condition, field_accuracy, required_field_recall, classification_correct, schema_followed, latency_ms, gpu_memory_mb, error, error_code,
+  0 AS text_char_count, 'needs_review' AS license_status FROM ev"""
+)
+def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence written as JSON lines and read back, missing keys with their defaults."""
+    path = io.scratch(spark, "evidence")
+    io.write_jsonl(evidence(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")).drop("license_status"), path)
+    return io.read_evidence(spark, path, multi_line=False).select("candidate", "sample_id", "document_type", "capture_condition", "field_accuracy", "required_field_recall", "classification_correct", "schema_followed", "latency_ms", "gpu_memory_mb", "error", "error_code", "text_char_count", "license_status")
+
+
+@query(
+    """SELECT r_name AS manifest_name, n_name AS sample_id, 'passport' AS document_type, 'samples/' || n_nationkey || '.jpg' AS image_path, CASE WHEN n_nationkey % 2 = 0 THEN 'glare' ELSE 'clean' END AS capture_condition,
+  CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests written as JSON and scanned, one a region (S1); absent conditions are clean."""
+    n, r, path = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), io.scratch(spark, "manifests")
+    sample = F.struct("n_nationkey", F.struct(F.col("n_name").alias("sample_id"), F.lit("passport").alias("document_type"), F.concat(F.lit("samples/"), "n_nationkey", F.lit(".jpg")).alias("image_path"), F.when(F.col("n_nationkey") % 2 == 0, "glare").alias("capture_condition")).alias("s"))
+    m = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(sample)), lambda x: x["s"]).alias("samples"))
+    m.write.option("maxRecordsPerFile", 1).json(path)  # a manifest is a file
+    return io.read_manifest(spark, path).select("manifest_name", "sample_id", "document_type", "image_path", "capture_condition", "pos")
+
+
+@query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name || chr(10) AS content, 'image/jpeg' AS mime, CAST(length(n_name) + 1 AS BIGINT) AS bytes, 'data:image/jpeg;base64,' || to_base64(encode(n_name || chr(10))) AS url FROM nation")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written one a nation and scanned as images."""
+    path = io.scratch(spark, "images")
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    i = io.read_images(spark, path, path)
+    key = F.regexp_extract("image_path", "n_nationkey=([0-9]+)/[^/]*$", 1).cast("int")
+    return i.select(key.alias("n_nationkey"), F.decode("content", "utf-8").alias("content"), "mime", "bytes", io.data_url().alias("url"))
+
+
+@query("SELECT n_name AS sample_id, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey AS VARCHAR) END AS number, CASE WHEN n_nationkey % 3 = 0 THEN 'extract_fields: KeyError: ''gone''' END AS error, CASE WHEN n_nationkey % 3 = 0 THEN 'PROVIDER_PARTIAL_FAILURE' END AS error_code, ['extract_portrait'] AS skipped FROM nation")
+def operation_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operation that fails costs its own result only (Q9)."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("sample_id"), "n_nationkey")
+    ops = {"classify": lambda r: r["sample_id"], "extract_fields": lambda r: r["n_nationkey"] if r["n_nationkey"] % 3 else {}["gone"], "extract_portrait": None}
+    out = providers.analyze(n, ops)
+    return out.select("sample_id", F.try_element_at("results", F.lit("extract_fields")).alias("number"), "error", "error_code", "skipped")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS default_provider, 'No results.' AS rationale")
+def no_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recommendation from no evidence."""
+    return report.cost_tiebreak(report.rank(report.summarize(evidence(spark, sf_dir).where("candidate = 'none'"))))
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{', '.join(f)}')" for t, f in catalog.SCHEMAS.items()) + ") v(document_type, prompt)"
+)
+def field_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that a model is asked for, by document type."""
+    return spark.createDataFrame([(t, extract.field_prompt(t)) for t in catalog.SCHEMAS], "document_type string, prompt string")

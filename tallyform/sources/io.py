@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,35 @@ DEFAULTS = {
 MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
+_own: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, removed when the driver's Python ends.
+
+    Where that is unset, a folder of the machine is taken, which only a local master can share with itself.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tallyform-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/tallyform/{name}-{uuid.uuid4().hex}"
+    _own.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_own() -> None:
+    for spark, path in _own:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is scratch space
+            pass
+
+
 def camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(p[:1].upper() + p[1:] for p in rest)
@@ -89,8 +121,8 @@ def read_evidence(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def camel_case(evidence: DataFrame) -> DataFrame:
-    """Evidence with camelCase columns; keys inside maps stay as they are."""
-    return evidence.select(*[F.col(c).alias(camel(c)) for c in evidence.columns])
+    """Evidence with camelCase columns, without the ordinal of a run; keys inside maps stay as they are."""
+    return evidence.select(*[F.col(c).alias(camel(c)) for c in evidence.columns if c != "ordinal"])
 
 
 def write_jsonl(evidence: DataFrame, path: str) -> None:
@@ -99,8 +131,10 @@ def write_jsonl(evidence: DataFrame, path: str) -> None:
 
 
 def write_array(evidence: DataFrame, path: str) -> int:
-    """One JSON array in a local file, for small results; rows pass one at a time through the driver."""
+    """One JSON array in a local file, for small results, by the candidates' order in the run; rows pass one at a time through the driver."""
     n = 0
+    if "ordinal" in evidence.columns:
+        evidence = evidence.orderBy("ordinal", "sample_id")
     with open(path, "w", encoding="utf-8") as f:
         f.write("[")
         for row in camel_case(evidence).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
