@@ -29,6 +29,9 @@ _WORD_BASE = 0xA0761D6478BD642F
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes or words that are hashed at once; their partial sums take eight times as many bytes.
+HASHED = 1 << 20
+
 _own_dirs: list[tuple[SparkSession, str]] = []
 
 
@@ -36,9 +39,14 @@ _own_dirs: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (as in tests), one of our own."""
+    """The shared folder of spark.checkpoint.dir; where it is unset (as in tests), one of our own.
+
+    That is a folder of the machine, which only a local master can share with itself; elsewhere it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallyform-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -186,23 +194,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray = IS_SP
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial over its bytes modulo 2^64, then mixed with its length."""
-    if not len(start):
-        return np.empty(0, np.uint64)
-    up, down = _bytes_pow.to(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=c[1:])
-    return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64) * _GOLD)
+    """64-bit hash of every word: a polynomial over its bytes modulo 2^64, then mixed with its length.
+
+    A hash does not depend on where its word stands, so words are taken HASHED bytes at a time.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + HASHED, "right")))
+        s, e = start[i:j] - start[i], end[i:j] - start[i]
+        part = data[start[i] : end[j - 1]]
+        up, down = _bytes_pow.to(min(len(part), HASHED) + 1) if len(part) <= HASHED else _Powers(_BYTE_BASE).to(len(part) + 1)
+        c = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=c[1:])
+        out[i:j] = mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64) * _GOLD)
+        i = j
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp hash of every k consecutive word hashes (window i starts at word i)."""
-    if len(h) < k:
-        return np.empty(0, np.uint64)
-    up, down = _words_pow.to(len(h) + 1)
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=c[1:])
-    return mix((c[k:] - c[:-k]) * down[: len(h) - k + 1])
+    """Rabin-Karp hash of every k consecutive word hashes (window i starts at word i), HASHED windows at a time."""
+    n = max(len(h) - k + 1, 0)
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, HASHED):
+        part = h[i : min(i + HASHED, n) + k - 1]
+        up, down = _words_pow.to(len(part) + 1)
+        c = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=c[1:])
+        out[i : i + HASHED] = mix((c[k:] - c[:-k]) * down[: len(part) - k + 1])
+    return out
 
 
 def sort_groups(key: np.ndarray) -> np.ndarray:

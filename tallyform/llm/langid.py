@@ -12,6 +12,7 @@ table. Scoring reads all whole texts, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,11 @@ PER_LANG, BUCKET_BITS, SWITCH, SMOOTH, SCRIPT_SHARE = 3000, 15, 8.0, 0.5, 0.01
 #: Weights of the pair, triple and whole-word terms; pairs and triples overlap, so they count less than one each.
 WEIGHTS = (0.2, 0.4, 0.5)
 UND = "und"
+#: Characters of a text whose words are scored at once; the parts of a longer one are joined before Viterbi.
+PART_CHARS = 1 << 19
+#: Rows that Viterbi follows one by one, and words of one that it turns into plain numbers at once.
+FEW, BLOCK = 8, 1 << 15
+_BLANK = re.compile(r"\s")
 
 #: First and last code point of the main ranges of each script (fixed values of the Unicode standard).
 SCRIPTS = (
@@ -126,11 +132,12 @@ class Model:
         return out
 
 
-def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarray:
+def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float, few: int = FEW) -> np.ndarray:
     """Best label of every word: the sum of scores less the penalty for each switch inside a row.
 
     All rows advance together, one word a step, longest rows first, so each step is a few array
-    operations. Ties keep the current label, then take the smaller one.
+    operations; once no more than `few` rows are left, each goes on by itself over plain numbers. Ties
+    keep the current label, then take the smaller one.
     """
     size = np.diff(of_row)
     order = np.argsort(-size, kind="stable")
@@ -140,9 +147,10 @@ def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarray
         return label
     steps = int(size[0])
     alive = np.searchsorted(-size, -np.arange(steps), "left")  # rows with more than t words
+    until = max(int(np.searchsorted(-alive, -few, "left")), 1)  # from here on rows are followed one by one
     stay, best = np.ones(score.shape, bool), np.zeros(len(score), np.int16)
     value = score[start[: alive[0]]].astype(np.float64)
-    for t in range(1, steps):
+    for t in range(1, min(steps, until)):
         n = alive[t]
         v, at = value[:n], start[:n] + t
         top = v.argmax(axis=1)
@@ -150,9 +158,33 @@ def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarray
         keep = v >= moved
         stay[at], best[at] = keep, top
         value[:n] = np.where(keep, v, moved) + score[at]
+    late = int(alive[until]) if until < steps else 0
+    for r in range(late):
+        v = value[r].tolist()
+        for a in range(start[r] + until, start[r] + size[r], BLOCK):
+            b = min(a + BLOCK, start[r] + size[r])
+            before = []
+            for s in score[a:b].tolist():
+                before.append(v)
+                moved = max(v) - penalty
+                v = [(x if x >= moved else moved) + y for x, y in zip(v, s)]
+            was = np.array(before)
+            stay[a:b], best[a:b] = was >= was.max(axis=1, keepdims=True) - penalty, was.argmax(axis=1)
+        value[r] = v
     now = np.zeros(len(size), np.int16)
     now[: alive[0]] = value.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
+    for r in range(late):
+        # Back from switch to switch: a label reaches back to the last word at which it was not kept.
+        first, end, k = start[r] + until, start[r] + size[r], now[r]
+        while end > first:
+            cut = _last_false(stay, first, end, k)
+            if cut < first:
+                label[first:end] = k
+                break
+            label[cut:end] = k
+            k, end = best[cut], cut
+        now[r] = k
+    for t in range(min(steps, until) - 1, -1, -1):
         n = alive[t]
         at = start[:n] + t
         label[at] = now[:n]
@@ -161,6 +193,18 @@ def viterbi(score: np.ndarray, of_row: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
+def _last_false(stay: np.ndarray, first: int, end: int, k: int) -> int:
+    """Last place in first..end at which label k was not kept; first - 1 if there is none. Looks back in growing steps."""
+    step = 64
+    while end > first:
+        a = max(first, end - step)
+        gone = np.flatnonzero(~stay[a:end, k])
+        if len(gone):
+            return a + int(gone[-1])
+        end, step = a, step * 2
+    return first - 1
+
+
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
     """(lang, text) of rows with a language that are not held out: about per_lang of each language, all of smaller ones.
 
@@ -192,11 +236,51 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(langs, counts, scripts)
 
 
+def parted(texts: list[str], most: int = PART_CHARS) -> tuple[list[str], list[int]]:
+    """Texts cut at white space into parts of about `most` characters, so that a long one needs no more memory at once, and the parts of each."""
+    parts, counts = [], []
+    for t in texts:
+        before, a = len(parts), 0
+        while len(t) - a > most:
+            m = _BLANK.search(t, a + most)
+            if m is None:
+                break
+            parts.append(t[a : m.start()])
+            a = m.start()
+        parts.append(t[a:])
+        counts.append(len(parts) - before)
+    return parts, counts
+
+
+class Scored:
+    """Scores, letters and rows of all words of some texts, worked out part by part."""
+
+    def __init__(self, model: Model, texts: list[str]) -> None:
+        parts, counts = parted(texts)
+        score, letters, size, a = [], [], [], 0
+        while a < len(parts):
+            b, n = a + 1, len(parts[a])
+            while b < len(parts) and n + len(parts[b]) <= 2 * PART_CHARS:
+                n += len(parts[b])
+                b += 1
+            w = Words(parts[a:b])
+            score.append(model.scores(w) if model.langs else np.empty((len(w.first), 0), np.float32))
+            letters.append(w.letters)
+            size.append(np.diff(w.of_row))
+            a = b
+        none = np.empty(0, np.int64)
+        self.score = np.concatenate(score) if score else np.empty((0, len(model.langs)), np.float32)
+        self.letters = np.concatenate([none, *letters])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([none, *size]))]).astype(np.int64)
+        self.of_row = upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        self.row = np.repeat(np.arange(len(texts)), np.diff(self.of_row))
+
+
 def label_texts(model: Model, texts: list[str], penalty: float = SWITCH, spans: bool = False) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, share of letters in it, and spans (lang, first word, words) of each text."""
-    w = Words(texts)
+    w = Scored(model, texts)
     k = len(model.langs)
-    label = viterbi(model.scores(w), w.of_row, penalty) if k else np.zeros(len(w.first), np.int16)
+    label = viterbi(w.score, w.of_row, penalty) if k else np.zeros(len(w.score), np.int16)
     weight = np.zeros((len(texts), max(k, 1)))
     np.add.at(weight, (w.row, label), w.letters)
     total, top = weight.sum(axis=1), weight.argmax(axis=1)
