@@ -3,7 +3,9 @@
 A template is aligned with the words of a document around its cue words: words unique to both sides
 are the anchors, their longest increasing subsequence is kept, and the gaps between are aligned the
 same way; a gap without anchors (as in a notice that is repeated) is aligned by an exact longest common
-subsequence. The share of the template's words that are matched is the coverage.
+subsequence. The share of the template's words that are matched is the coverage. Anchors may miss a
+better alignment where words were added and dropped; a place that falls short is checked by the length of
+the exact longest common subsequence, and aligned by that if it suffices.
 
 Cue words make the scan lossless: a template of m words that must be covered to ceil(share * m)
 words matches at least one of any m - ceil(share * m) + 1 of its words, and its longest such words
@@ -27,17 +29,22 @@ from .common import SLICE_BYTES, slices, utf8_view
 SHARE = 0.8
 _WORDS = re.compile(r"\w+")
 
-#: Texts of public notices (fixed values).
+#: Texts of public notices (fixed values); beside whole ones (-full, -Clause) the parts of them that often stand alone.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-full": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
     "GPL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "ISC-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -89,6 +96,15 @@ def common(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> list[tuple[int
     return out
 
 
+def common_length(places: dict[str, int], m: int, b: list[str]) -> int:
+    """Length of a longest common subsequence of a template of m words, given by its words' places as bits, and b."""
+    full = row = (1 << m) - 1
+    for w in b:
+        both = row & places.get(w, 0)
+        row = (row + both | row - both) & full
+    return m - row.bit_count()
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places (in a, in b) in rising order. Gaps wait on a list, so depth is not bounded by a call stack."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -137,12 +153,18 @@ class Scanner:
             at: dict[str, list[int]] = {}
             for i in chosen:
                 at.setdefault(words[i], []).append(i)
-            self.templates.append((name, words, at, need))
+            bits: dict[str, int] = {}
+            for i, w in enumerate(words):
+                bits[w] = bits.get(w, 0) | 1 << i
+            self.templates.append((name, words, at, need, bits))
             cues |= set(at)
         self.cue = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(cues))) + r")\b") if cues else None
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, words) of every notice, in text order; of overlapping ones that with most matched words."""
+        """(template, coverage, first word, words) of every notice, in text order.
+
+        Of overlapping ones that with most matched words counts, less half of the words inside it that match nothing.
+        """
         lowered = text.lower()
         if self.cue is None or not self.cue.search(lowered):
             return []
@@ -151,7 +173,7 @@ class Scanner:
         for p, w in enumerate(words):
             places.setdefault(w, []).append(p)
         found = []
-        for name, want, at, need in self.templates:
+        for name, want, at, need, bits in self.templates:
             starts = sorted({p - i for w, own in at.items() for p in places.get(w, ()) for i in own})
             slack, m, i = len(want) // 4 + 2, len(want), 0
             bag, hits = Counter(want), {}
@@ -165,6 +187,8 @@ class Scanner:
                     # The run as a whole, and a template's length from every start for copies that follow one another.
                     for a, b in ((a, b), *((max(0, s), min(len(words), s + m)) for s in starts[i : j + 1])):
                         hit = align(want, words[a:b])
+                        if len(hit) < need <= common_length(bits, m, words[a:b]):
+                            hit = common([(w, i) for i, w in enumerate(want)], [(w, i) for i, w in enumerate(words[a:b]) if w in bits])
                         if len(hit) >= need:
                             place = a + hit[0][1], hit[-1][1] - hit[0][1] + 1
                             hits[place] = max(len(hit), hits.get(place, 0))
@@ -172,7 +196,7 @@ class Scanner:
             found += [(n, name, round(n / m, 4), *place) for place, n in hits.items() if place[1] <= m or not _spread(place, hits)]
         taken: list[tuple[int, int]] = []
         out = []
-        for _, name, share, first, n in sorted(found, key=lambda f: (-f[0], f[3], f[4], f[1])):
+        for _, name, share, first, n in sorted(found, key=lambda f: (f[4] - 3 * f[0], f[3], f[4], f[1])):
             if all(first + n <= x or first >= x + y for x, y in taken):
                 taken.append((first, n))
                 out.append((name, share, first, n))
