@@ -791,6 +791,49 @@ def operation_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", F.try_element_at("results", F.lit("extract_fields")).alias("number"), "error", "error_code", "skipped")
 
 
+_SHOWN = "coalesce(format('{{:.3f}}', {0}::DOUBLE), '—')"
+_RANKING_SQL = " || ' | ' || ".join(_SHOWN.format(c) for c in [*report.RANKING.values()][:8])
+_SPREAD_SQL = """
+h{0} AS (SELECT DISTINCT {1} AS k FROM ev),
+c{0} AS (SELECT candidate, {1} AS k, round_even(avg(field_accuracy), 4) AS v FROM ev GROUP BY ALL),
+s{0} AS (SELECT rank, candidate, string_agg(coalesce(format('{{:.3f}}', v), '—'), ' | ' ORDER BY k) AS cells FROM ranked CROSS JOIN h{0} LEFT JOIN c{0} USING (candidate, k) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_SUMMARY},{_SPREAD_SQL.format(1, "document_type")},{_SPREAD_SQL.format(2, "capture_condition")}
+SELECT 'Candidates by composite score' AS section, 0 AS pos, '|  | Candidate | {" | ".join(report.RANKING)} |' AS line
+UNION ALL SELECT 'Candidates by composite score', rank + 1, '| ' || rank || ' | ' || candidate || ' | ' || {_RANKING_SQL} || ' | ' || cost_estimate || ' | ' || license_status || ' |' FROM ranked
+UNION ALL SELECT 'Accuracy by document type', 0, '| Candidate | ' || string_agg(k, ' | ' ORDER BY k) || ' |' FROM h1
+UNION ALL SELECT 'Accuracy by document type', rank + 1, '| ' || candidate || ' | ' || cells || ' |' FROM s1
+UNION ALL SELECT 'Accuracy by capture condition', 0, '| Candidate | ' || string_agg(k, ' | ' ORDER BY k) || ' |' FROM h2
+UNION ALL SELECT 'Accuracy by capture condition', rank + 1, '| ' || candidate || ' | ' || cells || ' |' FROM s2
+UNION ALL SELECT 'short', 0, '| Candidate | Total | Fields | Median ms |'
+UNION ALL SELECT 'short', rank + 1, '| ' || candidate || ' | ' || format('{{:.3f}}', composite_score) || ' | ' || format('{{:.3f}}', field_accuracy) || ' | ' || format('{{:.0f}}', latency_p50_ms) || ' |' FROM ranked"""
+)
+def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the report's ranking, of accuracy by type and condition, and of the short ranking."""
+    summary = report.build_summary(evidence(spark, sf_dir))
+    parts = dict(p.split("\n", 1) for p in report.markdown(summary).split("\n## ")[1:])
+    parts = {k: parts[k] for k in ("Candidates by composite score", "Accuracy by document type", "Accuracy by capture condition")} | {"short": report.quick_ranking(summary)}
+    lines = {k: [x for x in text.split("\n") if x.startswith("|") and not x.startswith("| :--")] for k, text in parts.items()}
+    return spark.createDataFrame([(k, i if i == 0 else i + 1, x) for k, xs in lines.items() for i, x in enumerate(xs)], "section string, pos int, line string")
+
+
+@query(
+    """SELECT n_name AS model, n_nationkey < 5 AS ok, CASE WHEN n_nationkey >= 10 THEN 'endpoint not reachable: ConnectionError'
+  WHEN n_nationkey >= 5 THEN 'model ''' || n_name || ''' is not served (served: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 5) || ')' END AS reason FROM nation"""
+)
+def endpoint_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints that serve a model, lack it, or do not answer (O3); one driver call an endpoint."""
+    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]  # nation has 25 rows at every size
+
+    def gone() -> list[str]:
+        raise ConnectionError
+
+    seen = [(m, *providers.probe(gone if i >= 10 else lambda: names[:5], m)) for i, m in enumerate(names)]
+    return spark.createDataFrame(seen, "model string, ok boolean, reason string")
+
+
 @query("SELECT CAST(NULL AS VARCHAR) AS default_provider, 'No results.' AS rationale")
 def no_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recommendation from no evidence."""
