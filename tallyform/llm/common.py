@@ -71,13 +71,18 @@ def own_folder(spark: SparkSession, path: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, removed when the driver's Python ends."""
+    return own_folder(spark, f"{scratch_root(spark)}/tallyform/{name}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: lineage is cut and lost executors cost nothing.
 
     The folder, with one folder in it for each value of `by`, is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = own_folder(spark, f"{scratch_root(spark)}/tallyform/{name}-{uuid.uuid4().hex}")
+    path = scratch_table(spark, name)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, packing, quality, simhash, substring, topk, url_filter
+from . import decontam, html_extract, langid, licenses, packing, quality, secrets, simhash, substring, topk, url_filter
+from .common import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; each doc_id is a path, and the ledger is new with each call."""
+    found = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_table(spark, "ledger"))
+    return secrets.digest(found)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op5_license_scan, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op5_license_scan, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter, op13_secret_ledger, pipeline)}
 
 
 #: SQL that DuckDB runs on the same tables.
@@ -110,6 +117,7 @@ kept AS (
   SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op13_secret_ledger": secrets.oracle_sql(),
 }
 
 
