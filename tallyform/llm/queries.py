@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, packing, quality, secrets, simhash, spelling, substring, topk, url_filter
+from . import conversation, decontam, html_extract, langid, licenses, packing, quality, secrets, simhash, spelling, substring, topk, url_filter
 from .common import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every conversation, after damage by its rows' hashes."""
+    return conversation.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, the more frequent form of each and the root of its forms."""
     return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op5_license_scan, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter, op12_spelling_variants, op13_secret_ledger, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_qda, op3_harmonic_packing, op4_exact_topk, op5_license_scan, op6_language_id, op7_simhash, op8_substring_dedup, op9_html_consensus, op10_url_filter, op11_conversation_repair, op12_spelling_variants, op13_secret_ledger, pipeline)}
 
 
 #: SQL that DuckDB runs on the same tables.
