@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .url_filter import host_path
 
+T = TypeVar("T")
+
 #: Hosts up to which the table of winners (two longs and a name each) is broadcast.
 FEW_HOSTS = 50_000
 
@@ -36,7 +39,9 @@ INLINE_SKIP = frozenset("svg object audio video canvas button select".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id values that mark what is not part of an article, those of reader comments apart.
 COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
-MARKS = COMMENTS | frozenset(
+#: Of these only what stands outside of article and main: a paper may have a section so named.
+TALK = frozenset("discussion discussions feedback reactions responses conversation".split())
+MARKS = COMMENTS | TALK | frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social related recommended recommendations widget pagination pager toolbar skip paywall".split()
 )
 #: Words that may stand beside one of MARKS in a class or id (site-footer, comment-list); beside any other word it marks nothing (no-sidebar).
@@ -52,6 +57,7 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Searched in the page itself: lower-casing it may change its length.
+_INNER = HEADING | frozenset("p li dt dd td th tr tbody thead tfoot caption blockquote pre figcaption summary ul ol dl table hgroup header".split())
 _RAW_END = {tag: re.compile(f"</{tag}(?![\\w-])", re.I | re.A) for tag in RAW | INLINE_SKIP}
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 
@@ -59,17 +65,19 @@ _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 class Node:
     """An open element. mark is the nearest element around it, or itself, that its class, id or tag rules out unless it holds the article."""
 
-    __slots__ = ("tag", "path", "parent", "skip", "article", "score", "mark", "comments", "held", "whole")
+    __slots__ = ("tag", "path", "parent", "skip", "article", "score", "mark", "comments", "held", "whole", "box", "kind", "title")
 
-    def __init__(self, tag: str, path: int, parent: Node | None, skip: bool, article: bool, marked: bool = False, comments: bool = False) -> None:
-        self.tag, self.path, self.parent, self.skip, self.article, self.score = tag, path, parent, skip, article, 0
+    def __init__(self, tag: str, path: int, parent: Node | None, skip: bool, article: bool, marked: bool = False, comments: bool = False, title: bool | None = None) -> None:
+        self.tag, self.path, self.parent, self.skip, self.score = tag, path, parent, skip, 0
         self.mark, self.comments, self.held, self.whole = self if marked else parent.mark if parent else None, comments, 0, False
-
-    def marks(self) -> Iterator[Node]:
-        node = self.mark
-        while node is not None:
-            yield node
-            node = node.parent.mark if node.parent else None
+        #: The outermost article or main around it, and the nearest container around its paragraph.
+        self.article: Node | None = (parent.article if parent else None) or (self if article else None)
+        inner = parent is not None and tag in _INNER
+        self.box: Node = parent.box if inner else self
+        #: Whether headings (1) or paragraphs (2) lie between the box and here.
+        self.kind: int = parent.kind | (1 if tag in HEADING else 2 if tag == "p" else 0) if inner else 0
+        #: In the header of an article: whether it is part of a heading. Elsewhere None.
+        self.title = title
 
 
 def marks_of(names: str) -> set[str]:
@@ -96,14 +104,15 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     root = Node("", 0, None, False, False)
     top, out, text = root, [], []
     link = linked = 0
-    plain = False  # whether article, main or h1 stands outside of marked elements
     last_end: dict[str, int] = {}
+    nodes: list[Node] = []
+    still_open: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked, link
         if text:
             joined = " ".join("".join(text).split())
-            if joined and not top.skip:
+            if joined and not top.skip and top.title is not False:
                 out.append((top, joined, min(linked, len(joined))))
             text.clear()
         linked = link = 0
@@ -144,15 +153,17 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         elif tag in VOID or tag not in BLOCK:
             continue
         elif closing:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
+            if still_open.get(tag, 0):
                 flush()
-                top = node.parent
+                while True:
+                    shut, top = top.tag, top.parent
+                    still_open[shut] -= 1
+                    if shut == tag:
+                        break
         else:
             flush()
             while top is not root and (top.tag == "p" or top.tag in HEADING and tag in HEADING or tag in ENDS.get(top.tag, ())):
+                still_open[top.tag] -= 1
                 top = top.parent
             if empty:
                 continue
@@ -161,45 +172,59 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             body = tag in ("article", "main")
             role = got.get("role", "").lower()
             marks = marks_of(names + " " + got.get("id", ""))
-            if tag == "h1" or body and not top.article and not marks & COMMENTS:
-                plain = plain or top.mark is None and not top.skip
-                for node in top.marks():
-                    node.whole = node.whole or body or not node.comments
+            if top.article:
+                marks -= TALK
+            comments = bool(marks & (COMMENTS | TALK))
+            if body and not top.article and not comments:
+                mark = top.mark
+                while mark is not None and not mark.whole:
+                    mark.whole = True
+                    mark = mark.parent.mark
             if tag in ("html", "body") or body and not top.article:
-                marks = set()
-            skip = tag in SKIP or tag == "header" and not top.article or top.tag == "header" and tag not in HEADING or role in ROLES
+                marks, comments = set(), False
+            skip = tag in SKIP or tag == "header" and not top.article or role in ROLES
             skip = skip or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
             key = f"{tag}.{'.'.join(sorted(re.sub('[0-9]+', '', c) for c in names.lower().split()))}" if names else tag
-            top = Node(tag, _path(top.path, key), top, top.skip or skip, top.article or body, bool(marks) or tag == "form" or role == "form", bool(marks & COMMENTS))
+            title = (tag in HEADING or top.title is True) if tag == "header" or top.title is not None else None
+            top = Node(tag, _path(top.path, key), top, top.skip or skip, body, bool(marks) or tag == "form" or role == "form", comments, title)
+            nodes.append(top)
+            still_open[tag] = still_open.get(tag, 0) + 1
     flush()
-    return _unmarked([b for b in out if b[0].tag != "header"], plain)
+    return _unmarked(out, nodes)
 
 
-def _unmarked(found: list[tuple[Node, str, int]], plain: bool) -> list[tuple[Node, str, int]]:
-    """Blocks outside of marked elements.
+def _unmarked(found: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
+    """Blocks outside of marked elements; nodes are in page order.
 
-    A mark is void where the element holds most of the page's running text and article, main or h1 too,
-    or where the page has none of these outside of marks; one that marks reader comments has to hold article or main.
+    A mark is void where its element holds most of the running text of the article around it, whatever its name. Outside of
+    articles it has to hold most of the page's, and article or main too if an article with text stands outside of marks.
+    One that marks reader comments always has to hold article or main.
     """
     total = 0
+    own: dict[Node, int] = {}
     for node, text, linked in found:
         total += len(text) - linked
-        for mark in node.marks():
-            mark.held += len(text) - linked
-
-    def void(mark: Node) -> bool:
-        return mark.held * 2 > total and (mark.whole or not mark.comments and not plain)
-
-    return [b for b in found if all(map(void, b[0].marks()))]
-
-
-def _holders(node: Node) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-_INNER = HEADING | frozenset("p li dt dd td th tr tbody thead tfoot caption blockquote pre figcaption summary ul ol dl table hgroup header".split())
+        own[node] = own.get(node, 0) + len(text) - linked
+    inside: dict[Node, int] = {}
+    for node in reversed(nodes):
+        running = own.get(node, 0)
+        if node.mark is node:
+            node.held += running
+            if node.parent.mark is not None:
+                node.parent.mark.held += node.held
+        elif node.mark is not None:
+            node.mark.held += running
+        if node.article is not None:
+            inside[node.article] = inside.get(node.article, 0) + running
+    plain = any(n and a.mark is None for a, n in inside.items())
+    kept: dict[Node | None, bool] = {None: True}
+    for node in nodes:
+        if node.mark is node:
+            around = node.parent.article
+            most = node.held * 2 > (inside.get(around, 0) if around is not None else total)
+            void = most and (node.whole or not node.comments and (around is not None or not plain))
+            kept[node] = void and kept[node.parent.mark]
+    return [b for b in found if kept[b[0].mark]]
 
 
 def scored(found: list[tuple[Node, str, int]]) -> dict[int, int]:
@@ -210,46 +235,58 @@ def scored(found: list[tuple[Node, str, int]]) -> dict[int, int]:
     """
     best: dict[int, int] = {}
     for node, text, linked in found:
-        node_ = node
-        while node_.tag in _INNER and node_.parent is not None:
-            node_ = node_.parent
         size = (len(text) - linked) * (4 if linked * 2 <= len(text) else 1)
-        for i, holder in enumerate(_holders(node_)):
-            if i == 3:
+        holder: Node | None = node.box
+        for i in range(3):
+            if holder is None:
                 break
             holder.score += size >> i
             best[holder.path] = max(best.get(holder.path, 0), holder.score)
+            holder = holder.parent
     return best
 
 
-def _whole(node: Node, held: dict[Node, int]) -> Node:
-    """The article that a container is part of: the outermost article or main around it.
-
-    Without such, the outermost ancestor with headings or paragraphs of its own or with the container's section in it;
-    body only if it has both headings and paragraphs.
-    """
-    chain = list(_holders(node))
-    named = [h for h in chain if h.tag in ("article", "main")]
-    if named:
-        return named[-1]
-    for part, holder in zip(chain, chain[1:]):
-        own = held.get(holder, 0)
-        if own == 3 if holder.tag in ("", "html", "body") else own or part.tag == "section":
-            node = holder
-    return node
+def _known(node: Node | None, known: dict[Node | None, T], tell: Callable[[Node, T], T]) -> T:
+    """tell(node, what holds for its parent), from known, to which all that is told on the way is added; each node is told once."""
+    way = []
+    while node not in known:
+        way.append(node)
+        node = node.parent
+    got = known[node]
+    for node in reversed(way):
+        got = known[node] = tell(node, got)
+    return got
 
 
 def _inside(found: list[tuple[Node, str, int]], path: int) -> list[str]:
-    """Blocks of the articles that containers of the path are part of."""
+    """Blocks of the articles that containers of the path are part of.
+
+    That is the outermost article or main around a container; without such, the outermost ancestor with headings or paragraphs
+    of its own or with the container's section in it, and body only if it has both headings and paragraphs.
+    """
     held: dict[Node, int] = {}
     for node, _, _ in found:
-        kind = 0
-        while node.tag in _INNER and node.parent is not None:
-            kind |= 1 if node.tag in HEADING else 2 if node.tag == "p" else 0
+        held[node.box] = held.get(node.box, 0) | node.kind
+
+    def above(node: Node, higher: Node | None) -> Node | None:
+        holder = node.parent
+        if higher is not None or holder is None:
+            return higher
+        own = held.get(holder, 0)
+        fits = own == 3 if holder.tag in ("", "html", "body") else own or node.tag == "section"
+        return holder if fits else None
+
+    heads: dict[Node | None, Node | None] = {None: None}
+    seen: set[Node | None] = {None}
+    chosen: set[Node] = set()
+    for node, _, _ in found:
+        while node not in seen:
+            seen.add(node)
+            if node.path == path:
+                chosen.add(node.article or _known(node, heads, above) or node)
             node = node.parent
-        held[node] = held.get(node, 0) | kind
-    chosen = {_whole(h, held) for h in {h for n, _, _ in found for h in _holders(n) if h.path == path}}
-    return [t for n, t, _ in found if any(h in chosen for h in _holders(n))] if chosen else []
+    within: dict[Node | None, bool] = {None: False}
+    return [t for n, t, _ in found if _known(n, within, lambda node, up: up or node in chosen)] if chosen else []
 
 
 def main_text(page: str, path: int | None) -> str:

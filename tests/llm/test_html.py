@@ -1,4 +1,7 @@
 import random
+import re
+import time
+import xml.etree.ElementTree as ET
 from collections import Counter
 
 import pytest
@@ -72,3 +75,118 @@ def test_a_page_of_many_megabytes(spark):
 
 def test_many_unclosed_elements_take_linear_time():
     assert html_extract.main_text("<article>" + "<button><svg>" * 50_000 + "<p>end</p>", None) == "end"
+
+
+NAMES = "widget alert notice promo cookies banner menu main-menu login signup popup overlay section-widget share-content subscribe-page".split()
+
+
+def test_names_never_hide_the_body(spark):
+    body = "Prose of the article goes on. " * 10
+    rows = []
+    for name in NAMES:
+        rows += [
+            f"<article><h1>T</h1><div class='{name}'><p>{body}</p></div></article>",
+            f"<div id=page><h1>T</h1><div class='{name}'><p>{body}</p></div></div>",
+            f"<body><div id=page><h1>T</h1><div class='{name}'><p>{body}</p></div></div><div class=footer>Imprint and so on</div></body>",
+        ]
+    want = f"T\n\n{body.strip()}"
+    assert [html_extract.main_text(page, None) for page in rows] == [want] * len(rows)
+    df = spark.createDataFrame([(i, f"http://h{i}.example/{k}", page) for k in range(3) for i, page in enumerate(rows)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(df).collect()] == [want] * 3 * len(rows)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_longer_box_beside_the_article_stays_out(name):
+    page = f"<body><article><h1>T</h1>{P}</article><div class='{name}'><p>{'Other words of a box. ' * 30}</p></div></body>"
+    assert html_extract.main_text(page, None).split("\n\n") == ["T", R]
+
+
+@pytest.mark.parametrize("head", ["<h1>T</h1>", "<div><h1>T</h1></div>", "<hgroup><h1>T</h1><p>sub</p></hgroup>", "<div><div><h1><span>T</span></h1><p>By me</p></div></div><nav><a href=x>x</a></nav>", "words <div>more <h1>T</h1> words</div>"])
+def test_titles_in_headers(head):
+    assert html_extract.main_text(f"<body><header><h1>Site</h1></header><article><header>{head}</header>{P}</article></body>", None).split("\n\n") == ["T", R]
+
+
+def test_discussions_of_readers():
+    talk = f"<div class=discussion>{REMARKS}</div>"
+    assert html_extract.main_text(f"<body><article>{P}</article>{talk}</body>", None) == R
+    assert html_extract.main_text(f"<body><div id=page><h1>T</h1>{P}{talk}</div></body>", None).split("\n\n") == ["T", R]
+    assert html_extract.main_text(f"<article>{P}<section class=discussion>{P}</section></article>", None).split("\n\n") == [R, R]
+
+
+@pytest.mark.parametrize("part", ["<div>word text here", "<div class=widget><h1>word", "<ul><li>word text here", "<blockquote class=comment>word text", "<div>word</p></i></section>", "<article class=promo><h1>word"])
+def test_deep_nesting_takes_linear_time(part):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.blocks(part * n)
+        html_extract.main_text(part * n, None)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 3 * 8 * seconds(10_000)  # by the square it would be 64 times
+
+
+class Tree:
+    """Plain recursion over XML trees: containers, votes, winner, and the ancestors around it."""
+
+    def __init__(self, pages):
+        self.pages = [ET.fromstring(p) for p in pages]
+        votes = Counter()
+        for page in self.pages:
+            score = Counter()
+            for way in self.ways(page):
+                for i, box in enumerate(range(len(way) - 1, max(0, len(way) - 4), -1)):
+                    score[way[:box]] += 4 * len(way[-1].text) >> i
+            best = Counter()
+            for way, s in score.items():
+                best[self.path(way)] = max(best[self.path(way)], s)
+            votes.update({p: s * 1000 // max(best.values()) for p, s in best.items()})
+        self.winners = [p for p in votes if votes[p] == max(votes.values())]
+
+    def ways(self, e, way=()):
+        way = (*way, e)
+        if e.tag in ("p", "h2"):
+            yield way
+        for child in e:
+            yield from self.ways(child, way)
+
+    @staticmethod
+    def path(way):
+        return tuple((e.tag, re.sub("[0-9]", "", e.get("class", ""))) for e in way)
+
+    def text(self, page):
+        chosen = set()
+        for way in self.ways(page):
+            for i in range(1, len(way)):
+                if self.path(way[:i]) == self.winners[0]:
+                    node = way[i - 1]
+                    for j in range(i - 1, 0, -1):
+                        kinds = {c.tag for c in way[j - 1]} & {"p", "h2"}
+                        if len(kinds) == 2 if way[j - 1].tag in ("html", "body") else kinds or way[j].tag == "section":
+                            node = way[j - 1]
+                    chosen.add(node)
+        return [way[-1].text for way in self.ways(page) if any(e in chosen for e in way)]
+
+
+def test_votes_and_choice_by_plain_trees(spark):
+    rng = random.Random(11)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<{(tag := rng.choice(['p', 'p', 'h2']))}>{' '.join(['word'] * rng.randrange(1, 30))}</{tag}>"
+        inner = "".join(part(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{(tag := rng.choice(['div', 'div', 'section']))} class='{rng.choice('xyz')}{rng.randrange(10)}'>{inner}</{tag}>"
+
+    checked = 0
+    for host in range(25):
+        pages = [f"<html><body>{part(4)}{part(3)}</body></html>" for _ in range(4)]
+        tree = Tree(pages)
+        if len(tree.winners) > 1:
+            continue
+        checked += 1
+        df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(2)
+        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+        for i, page in enumerate(tree.pages):
+            want = tree.text(page)
+            if want:
+                assert got[i] == "\n\n".join(want), (host, i, pages[i])
+    assert checked > 15
