@@ -104,6 +104,8 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], rate: float = RATE, min_words: int = MIN_WORDS) -> None:
         h, first = hashed_words(texts)
         self.items: list[tuple[int, list[int], int]] = []
+        #: Words of the items that are too short to be looked for inside a text.
+        self.lines = {tuple(w) for w in (spaced(t).split() for t in texts) if 0 < len(w) < min_words}
         by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()):
             m = b - a
@@ -121,6 +123,10 @@ class Index:
             seen[keys >> np.uint64(48)] = True
             self.pieces[n] = keys, np.array([g[1:] for g in got], np.int64), seen
 
+    def has_line(self, text: str) -> bool:
+        """Whether a whole line of text is one of the short items."""
+        return bool(self.lines) and any(tuple(spaced(x).split()) in self.lines for x in text.splitlines())
+
     def leaks(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Per text (item id, errors, first word, end word) of every item that it holds, by item id."""
         h, first = hashed_words(texts)
@@ -209,14 +215,18 @@ def _cleaner(shared, at: int):
             text = batch.column(at)
             _, off = utf8_view(text)
             for a, b in slices(off, SLICE_BYTES * 2):
-                found = index.leaks([t or "" for t in text.slice(a, b - a).to_pylist()])
-                yield batch.slice(a, b - a).filter(pa.array([not f for f in found], pa.bool_()))
+                own = [t or "" for t in text.slice(a, b - a).to_pylist()]
+                yield batch.slice(a, b - a).filter(pa.array([not f and not index.has_line(t) for f, t in zip(index.leaks(own), own)], pa.bool_()))
 
     return run
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the rows that hold an item (see find_leaks), with an id or not; all columns are kept as they are."""
+    """docs without the rows that hold an item (see find_leaks), with an id or not; all columns are kept as they are.
+
+    An item of fewer than min_words words is a phrase that clean texts hold too: a row goes if a whole line of it has the
+    item's words and no others.
+    """
     out = docs
     for x in indexes(benchmark, item_id, item_text, rate, min_words, nameless=True):
         out = out.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(x), docs.columns.index(text)), docs.schema)

@@ -9,7 +9,7 @@ from tests.llm.test_dedup import slow_components, slow_fingerprint
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(names) <= set(__spark_entry__.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "substring_dedup", "decontaminate", "pack"]
 
@@ -62,3 +62,22 @@ def test_stages_keep_the_columns(spark, folder):
 def test_stages_call_the_operators():
     for f, module in zip((f for _, f in corpus_pipeline.STAGES), (langid, simhash, substring, decontam, packing)):
         assert module.__name__.rsplit(".", 1)[1] in f.__code__.co_names
+
+
+def test_short_benchmark_items(spark, folder):
+    path, _ = folder
+    bench = spark.createDataFrame([(1, "What is two?"), (2, "Paris"), (None, "東京"), (3, "..."), (4, None)], "item_id long, text string")
+    rows = [(1, "Words.\n what is TWO \nmore"), (2, "what is two more"), (3, "paris"), (4, "In Paris it rains."), (5, "一\n東京。\n"), (6, "東京都"), (7, None), (8, ""), (9, "...\n")]
+    kept = decontam.without_leaks(fixture.frame(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 6, 7, 8, 9]
+    assert decontam.find_leaks(fixture.frame(spark, rows), bench, min_words=1).count() == 4
+
+
+def test_clashing_columns_and_long_texts(spark, tmp_path):
+    rows = fixture.documents() + [(801, "long words of one text " * 450_000), (802, None), (803, "")]
+    fixture.frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "What is the answer to the question that was asked HERE?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    tokens = {r.doc_id: r.doc_tokens for r in got.collect()}
+    assert 801 in tokens and not {802, 803} & set(tokens)
