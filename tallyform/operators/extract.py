@@ -69,20 +69,61 @@ def _parsed(text: Column) -> Column:
 
     The object is read as the only element of an array, so that whatever follows it is an error.
     """
-    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    return F.when(F.size(got) == 1, F.map_entries(F.element_at(got, 1)))
+    return _only(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT), F.map_entries)
 
 
-def json_object(answer: Column | str) -> Column:
-    """Text of the first fenced JSON object, else from the first { to the last }; null if it does not parse."""
+def _only(got: Column, then: Callable[[Column], Column]) -> Column:
+    """then() of the element of an array of one, else null; a lambda's variable, so that the array is made once."""
+    return F.element_at(F.transform(F.array(got), lambda g: F.when(F.size(g) == 1, then(F.element_at(g, 1)))), 1)
+
+
+def _candidate(answer: Column | str) -> Column:
+    """The first fenced JSON object, else what stands from the first { to the last }; null if there is neither."""
     t = F.col(answer) if isinstance(answer, str) else answer
     fenced = F.nullif(F.regexp_extract(t, FENCED, 1), F.lit(""))
     first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
     spanned = F.when((first > 0) & (F.instr(t, "}") > 0) & (last > first), F.substring(t, first, last - first + 1))
-    found = F.coalesce(fenced, spanned)
+    return F.coalesce(fenced, spanned)
+
+
+def json_object(answer: Column | str) -> Column:
+    """Text of the first fenced JSON object, else from the first { to the last }; null if it does not parse."""
+    found = _candidate(answer)
     return F.when(_parsed(found).isNotNull(), found)
 
 
+def _typed(text: Column) -> Column:
+    """Entries of one JSON object in order: key, value as text and confidence; null if the text is not just one object.
+
+    Values are variants, so an object (value and confidence inside) is told from a text by its type. Objects that
+    repeat a key inside make no variant; see _untyped.
+    """
+    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _STRICT)
+
+    def held(m: Column) -> Column:
+        return F.transform(F.map_entries(m), lambda e: F.struct(e["key"], e["value"], F.try_variant_get(e["value"], "$", "struct<value:variant,confidence:variant>").alias("object")))
+
+    def entry(e: Column) -> Column:
+        value = F.when(e["object"].isNotNull(), e["object"]["value"]).otherwise(e["value"]).cast("string")
+        return F.struct(e["key"], value.alias("value"), F.coalesce(e["object"]["confidence"].cast("string").try_cast("double"), F.lit(0.0)).alias("confidence"))
+
+    return _only(got, lambda m: F.transform(held(m), entry))
+
+
+def _untyped(text: Column) -> Column:
+    """_typed for answers with objects that repeat a key, of which the last value counts; their values are parsed as text."""
+
+    def entry(x: Column) -> Column:
+        # An object stands in the answer as such; a text of the same characters stands there quoted.
+        quoted = F.regexp_replace(F.to_json(F.struct(x["value"].alias("v"))), r"^\{\"v\":|\}$", "")
+        object_ = F.when(F.ltrim(x["value"]).startswith("{") & ~F.contains(text, quoted) & _parsed(x["value"]).isNotNull(), x["value"])
+        inner = F.from_json(object_, "value string, confidence string", _STRICT)
+        value = F.when(object_.isNotNull(), inner["value"]).otherwise(x["value"])
+        return F.struct(x["key"], value.alias("value"), F.coalesce(inner["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"))
+
+    return F.transform(_parsed(text), entry)
+
+
 def _targets() -> Column:
     """Map of (document_type|key) to field: own names first, then aliases whose target the schema has."""
     pairs: dict[str, str] = {}
@@ -98,28 +139,24 @@ def json_fields(answers: DataFrame, answer: str = "answer", document_type: str =
     Keys are normalized and led to the schema's fields by name or alias; the first key of a field
     wins even if its value is null, and of a key that is repeated as it is the last value counts, in
     its first place. A missing full_name is put together from its parts. Null, empty and "null" values
-    are dropped; a text that looks like an object is a text. schema_followed is true wherever the answer parses.
+    are dropped; an object is told from a text by its type. schema_followed is true wherever the answer parses.
     """
-    none = F.array().cast("array<struct<key:string,value:string>>")
-    each = F.array_distinct(F.transform("_raw", lambda x: x["key"]))
-    entries = F.transform(each, lambda k: F.element_at(F.filter("_raw", lambda x: x["key"] == k), -1))
+    none = F.array().cast("array<struct<key:string,value:string,confidence:double>>")
+    keys = F.transform("_raw", lambda x: x["key"])
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter("_raw", lambda x: x["key"] == k), -1))
+    entries = F.when(F.size(F.array_distinct(keys)) < F.size("_raw"), last).otherwise(F.col("_raw"))
 
     def entry(x: Column) -> Column:
-        # An object stands in the answer as such; a text of the same characters stands there quoted.
-        quoted = F.regexp_replace(F.to_json(F.struct(x["value"].alias("v"))), r"^\{\"v\":|\}$", "")
-        object_ = F.when(F.ltrim(x["value"]).startswith("{") & ~F.contains(F.col("_json"), quoted) & _parsed(x["value"]).isNotNull(), x["value"])
-        inner = F.from_json(object_, "value string, confidence string", _STRICT)
-        return F.struct(
-            F.try_element_at(F.col("_targets"), F.concat(F.col(document_type), F.lit("|"), N.key(x["key"]))).alias("field"),
-            F.when(object_.isNotNull(), inner["value"]).otherwise(x["value"]).alias("value"),
-            F.coalesce(inner["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
-        )
+        field = F.try_element_at(F.col("_targets"), F.concat(F.col(document_type), F.lit("|"), N.key(x["key"])))
+        return F.struct(field.alias("field"), x["value"].alias("value"), x["confidence"].alias("confidence"))
 
     def first_only(acc: Column, x: Column) -> Column:
         return F.when(x["field"].isNull() | F.exists(acc, lambda y: y["field"] == x["field"]), acc).otherwise(F.concat(acc, F.array(x)))
 
     empty = F.array().cast("array<struct<field:string,value:string,confidence:double>>")
-    out = answers.withColumn("_json", json_object(answer)).withColumn("_raw", F.coalesce(_parsed(F.col("_json")), none)).withColumn("_raw", entries).withColumn("_targets", _targets())
+    out = answers.withColumn("_json", _candidate(answer)).withColumn("_typed", _typed(F.col("_json")))
+    out = out.withColumn("_read", F.coalesce("_typed", _untyped(F.col("_json")))).withColumn("_raw", F.coalesce("_read", none))
+    out = out.withColumn("_raw", entries).withColumn("_targets", _targets())
     out = out.withColumn("_got", F.aggregate(F.transform("_raw", entry), empty, first_only))
     def part(f: str) -> Column:
         return F.nullif(F.try_element_at(F.filter("_got", lambda y: y["field"] == f), F.lit(1))["value"], F.lit(""))
@@ -131,7 +168,7 @@ def json_fields(answers: DataFrame, answer: str = "answer", document_type: str =
     out = out.withColumn("_got", F.when(add, F.concat("_got", F.array(joined))).otherwise(F.col("_got")))
     kept = F.filter("_got", lambda y: y["value"].isNotNull() & ~y["value"].isin("", "null"))
     fields = F.map_from_entries(F.transform(kept, lambda y: F.struct(y["field"], F.struct(y["value"].alias("value"), y["confidence"].alias("confidence")))))
-    return out.withColumn("fields", fields).withColumn("schema_followed", F.col("_json").isNotNull()).drop("_json", "_raw", "_targets", "_got")
+    return out.withColumn("fields", fields).withColumn("schema_followed", F.col("_read").isNotNull()).drop("_json", "_typed", "_read", "_raw", "_targets", "_got")
 
 
 def field_prompt(document_type: str) -> str:

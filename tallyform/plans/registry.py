@@ -719,26 +719,34 @@ def keyword_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT event_id, event_id % 6 AS m, json_extract_string(props, '$.k') AS k FROM events),
+    """WITH e AS (SELECT event_id, event_id % 10 AS m, json_extract_string(props, '$.k') AS k FROM events),
 r AS (SELECT event_id, m, unnest(CASE m
     WHEN 0 THEN [{'field': 'nin', 'value': '9' || k, 'confidence': 0e0}, {'field': 'surname', 'value': 'A', 'confidence': 0e0}]
     WHEN 1 THEN [{'field': 'surname', 'value': '{' || k, 'confidence': 0e0}, {'field': 'nin', 'value': 'x', 'confidence': 0.5e0}]
     WHEN 2 THEN [{'field': 'tracking_id', 'value': k, 'confidence': 0e0}]
     WHEN 3 THEN [{'field': 'address', 'value': '{"value":"' || k || '"}', 'confidence': 0e0}]
     WHEN 4 THEN [{'field': 'nin', 'value': k, 'confidence': 0.25e0}]
+    WHEN 6 THEN [{'field': 'surname', 'value': k, 'confidence': 0e0}, {'field': 'address', 'value': '{"value":"' || k || '"}', 'confidence': 0e0}]
+    WHEN 7 THEN [{'field': 'surname', 'value': '{"value":"' || k || '"}', 'confidence': 0e0}]
+    WHEN 8 THEN [{'field': 'surname', 'value': '{"value":"a/' || k || '"}', 'confidence': 0e0}]
+    WHEN 9 THEN [{'field': 'surname', 'value': k || '.5', 'confidence': 0e0}, {'field': 'nin', 'value': 'true', 'confidence': 0.125e0}]
     ELSE [{'field': NULL, 'value': NULL, 'confidence': NULL}] END) AS x FROM e)
 SELECT event_id, x.field AS field, x.value AS value, x.confidence AS confidence, m <> 5 AS schema_followed FROM r"""
 )
 def json_oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated keys, texts that look like objects, NaN, and text after the object in JSON answers."""
+    """Repeated keys, texts that look like objects, numbers, NaN, and text after the object in JSON answers."""
     e = table(spark, sf_dir, "events")
-    m, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    m, k = F.col("event_id") % 10, F.get_json_object("props", "$.k")
     answer = (
         F.when(m == 0, F.concat(F.lit('{"nin":"1","surname":"A","nin":"9'), k, F.lit('"}')))
         .when(m == 1, F.concat(F.lit('{"surname": "{'), k, F.lit('", "nin": {"value": "x", "confidence": 0.5}}')))
         .when(m == 2, F.concat(F.lit('{"tracking": "'), k, F.lit('", "extra": NaN, "other": -Infinity}')))
         .when(m == 3, F.concat(F.lit('{"address": "{\\"value\\":\\"'), k, F.lit('\\"}"}')))
         .when(m == 4, F.concat(F.lit('{"nin": {"value": "0", "value": "'), k, F.lit('", "confidence": 0.25}}')))
+        .when(m == 6, F.concat(F.lit('{"surname": {"value":"'), k, F.lit('"}, "address": "{\\"value\\":\\"'), k, F.lit('\\"}"}')))
+        .when(m == 7, F.concat(F.lit('{"surname": "\\u007b\\"value\\":\\"'), k, F.lit('\\"\\u007d"}')))
+        .when(m == 8, F.concat(F.lit('{"surname": "{\\"value\\":\\"a\\/'), k, F.lit('\\"}"}')))
+        .when(m == 9, F.concat(F.lit('{"surname": '), k, F.lit('.50, "nin": {"value": true, "confidence": "0.125"}, "address": {"value": null}}')))
         .otherwise(F.concat(F.lit('{"nin": "'), k, F.lit('"} and {"surname": "B"}')))
     )
     out = extract.json_fields(e.select("event_id", F.lit("nin_slip").alias("document_type"), answer.alias("answer")))
