@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyform.functions.numbers import rounded
+from tallyform.operators import codec, edges
 
 
 def _at(px: Column, y: Column, x: Column) -> Column:
@@ -90,10 +92,20 @@ def gray_measures(gray: np.ndarray) -> tuple[float, float, float, bool]:
     g = gray.astype(np.float64)
     p = np.pad(g, 1, mode="reflect" if min(g.shape) > 1 else "edge")
     lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
-    gy, gx = np.gradient(g) if min(g.shape) > 1 else (np.zeros_like(g), np.zeros_like(g))
-    edge = np.hypot(gx, gy) > 50  # stands in for an edge detector
-    border = np.concatenate([edge[0], edge[-1], edge[:, 0], edge[:, -1]])
-    return float(lap.var()), float((g > 245).mean()), float(g.mean()), bool(border.mean() > 0.25)
+    return float(lap.var()), float((g > 245).mean()), float(g.mean()), edges.crowded_border(edges.canny(gray))
+
+
+def edge_tiles(tiles: DataFrame, px: str = "px") -> DataFrame:
+    """tiles with n_edges and cropped: pixels on edges, and whether these crowd the border. px is an array of rows; a null or empty one has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [edges.canny(np.array(p if p and p[0] else np.zeros((0, 0)), np.int64)) for p in batch.column(px).to_pylist()]
+            more = [pa.array([int(e.sum()) for e in found], pa.int64()), pa.array([edges.crowded_border(e) for e in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_edges", "cropped"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema)
+    return tiles.mapInArrow(run, fields + ", n_edges long, cropped boolean")
 
 
 def assess_images(images: DataFrame, decode: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:
@@ -128,10 +140,7 @@ def _box_blur(a: np.ndarray, radius: float) -> np.ndarray:
 
 
 def degrade(px: np.ndarray, condition: str, seed: int = 7) -> np.ndarray:
-    """Pixels (0..255, gray) under a capture condition; unknown conditions change nothing.
-
-    Codec effects can't be had without a codec: `whatsapp` is a reduction with coarser gray levels.
-    """
+    """Pixels (0..255, gray) under a capture condition; unknown conditions change nothing. The numbers are fixed values."""
     a = px.astype(np.float64)
     h, w = a.shape[:2]
     if condition == "mobile":
@@ -158,8 +167,7 @@ def degrade(px: np.ndarray, condition: str, seed: int = 7) -> np.ndarray:
     elif condition == "photocopy":
         a = np.clip((a - 110) * 1.8 + 128, 0, 255) + np.random.default_rng(seed).normal(0, 12, a.shape)
     elif condition == "whatsapp":
-        step = max(1, -(-max(h, w) // 900))
-        a = np.rint(a[::step, ::step] / 12) * 12
+        a = codec.sent(a)
     return np.clip(a, 0, 255).astype(np.uint8)
 
 

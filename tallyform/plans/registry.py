@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from tallyform.functions.numbers import rounded
 from tallyform.functions import normalize as N
 from tallyform.functions import similarity as S
-from tallyform.operators import benchmark, extract, image, report, resources, score, validate
+from tallyform.operators import benchmark, codec, extract, image, report, resources, score, validate
 from tallyform.plans import catalog
 from tallyform.plans.inputs import DATES_SQL, EVIDENCE_SQL, TEXTS_SQL, answers, dates, evidence, labelled_texts, table
-from tallyform.sources import generate, io, providers
+from tallyform.sources import formats, generate, io, providers
 from tallyform.streaming import evidence as stream
+from tallyform.streaming import summary as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,6 +566,62 @@ def tile_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("vec_id", "q.blur", "q.glare", "q.readable", "q.orientation", "q.quality_score")
 
 
+_PIXELS = "t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor((x::DOUBLE + 0.35e0) * {0}))) AS INTEGER)) AS v FROM embeddings)"
+_CLAMPED = "v[greatest(0, least(7, i // 8 + ({0}))) * 8 + greatest(0, least(7, i % 8 + ({1}))) + 1]"
+
+
+def _clamped(y: int, x: int) -> str:
+    return _CLAMPED.format(y, x)
+
+
+def _size(y: int, x: int) -> str:
+    """Size of the gradient y rows down and x columns right of pixel i, 0 outside of the tile."""
+    return f"(CASE WHEN i // 8 + ({y}) BETWEEN 0 AND 7 AND i % 8 + ({x}) BETWEEN 0 AND 7 THEN m[(i // 8 + ({y})) * 8 + i % 8 + ({x}) + 1] ELSE 0 END)"
+
+
+_EDGE_SQL = f"""WITH RECURSIVE {_PIXELS.format(70)},
+i AS (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM t),
+g AS (SELECT vec_id, i, {" + ".join(f"{w} * ({_clamped(y, 1)} - {_clamped(y, -1)})" for y, w in ((-1, 1), (0, 2), (1, 1)))} AS dx,
+  {" + ".join(f"{w} * ({_clamped(1, x)} - {_clamped(-1, x)})" for x, w in ((-1, 1), (0, 2), (1, 1)))} AS dy FROM i),
+l AS (SELECT vec_id, list(abs(dx) + abs(dy) ORDER BY i) AS m FROM g GROUP BY vec_id),
+n AS (SELECT g.vec_id, i, m, dx, dy, abs(dx) + abs(dy) AS s, abs(dy) * 32768 < abs(dx) * 13573 AS flat, abs(dy) * 32768 > abs(dx) * 13573 + abs(dx) * 65536 AS steep FROM g JOIN l USING (vec_id)),
+e AS (SELECT vec_id, i, s FROM n WHERE s > 50 AND CASE WHEN flat THEN s > {_size(0, -1)} AND s >= {_size(0, 1)} WHEN steep THEN s > {_size(-1, 0)} AND s >= {_size(1, 0)}
+  WHEN (dx < 0) <> (dy < 0) THEN s > {_size(-1, 1)} AND s > {_size(1, -1)} ELSE s > {_size(-1, -1)} AND s > {_size(1, 1)} END),
+r AS (SELECT vec_id, i FROM e WHERE s > 150 UNION SELECT e.vec_id, e.i FROM r JOIN e ON e.vec_id = r.vec_id AND abs(e.i // 8 - r.i // 8) <= 1 AND abs(e.i % 8 - r.i % 8) <= 1)
+SELECT t.vec_id, count(r.i) AS n_edges, coalesce(sum((r.i < 8)::INT + (r.i >= 56)::INT + (r.i % 8 = 0)::INT + (r.i % 8 = 7)::INT), 0) / 32e0 > 0.25e0 AS cropped FROM t LEFT JOIN r USING (vec_id) GROUP BY t.vec_id"""
+
+
+def _tiles(spark: SparkSession, sf_dir: str, contrast: int) -> DataFrame:
+    """8 x 8 gray tiles of the embeddings."""
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.35) * contrast))).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8)).alias("px"))
+
+
+@query(_EDGE_SQL)
+def edge_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of tiles, and tiles that look cut off (I4)."""
+    return image.edge_tiles(_tiles(spark, sf_dir, 70)).drop("px")
+
+
+_BASIS_SQL = "b AS (SELECT u, x, (CASE WHEN u = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END) * cos((2 * x + 1) * u * pi() / 16) AS c FROM range(0, 8) a(u), range(0, 8) d(x))"
+
+
+@query(
+    f"""WITH {_PIXELS.format(400)}, {_BASIS_SQL}, q AS (SELECT unnest({codec.table(codec.QUALITY).ravel().tolist()}) AS s, unnest(range(0, 64)) // 8 AS u, unnest(range(0, 64)) % 8 AS w),
+p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v[i + 1] - 128e0 AS v FROM (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM t)),
+r AS (SELECT vec_id, y, b.u AS w, sum(v * c) AS v FROM p JOIN b ON p.x = b.x GROUP BY ALL),
+f AS (SELECT vec_id, b.u, w, sum(v * c) AS v FROM r JOIN b ON r.y = b.x GROUP BY ALL),
+k AS (SELECT vec_id, u, w, floor(v / s + 0.5e0 + 1e-9) * s AS v FROM f JOIN q USING (u, w)),
+h AS (SELECT vec_id, b.x AS y, w, sum(v * c) AS v FROM k JOIN b ON k.u = b.u GROUP BY ALL),
+o AS (SELECT vec_id, y, b.x AS x, greatest(0, least(255, floor(sum(v * c) + 128 + 0.5e0 + 1e-9))) AS v FROM h JOIN b ON h.w = b.u GROUP BY vec_id, y, b.x)
+SELECT vec_id, string_agg(CAST(v AS INTEGER)::VARCHAR, ',' ORDER BY y, x) AS pixels FROM o GROUP BY vec_id"""
+)
+def sent_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles after the block transform of a sent image."""
+    out = image.degrade_tiles(_tiles(spark, sf_dir, 400).withColumn("capture_condition", F.lit("whatsapp")))
+    return out.select("vec_id", F.array_join(F.flatten("px").cast("array<string>"), ",").alias("pixels"))
+
+
 @query("SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(greatest(0, least(255, floor((x::DOUBLE + 0.35e0) * 400))) AS INTEGER) * 0.35e0) AS INTEGER)) AS dark FROM embeddings")
 def low_light_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The low-light condition on pixel rows."""
@@ -632,6 +689,16 @@ def streaming_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("candidate").agg(F.count("*").alias("n"), F.count("errorCode").alias("errors"))
 
 
+@query(f"WITH {_SUMMARY} SELECT * FROM scored")
+def streaming_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary kept up with evidence that arrives in several micro-batches (A1-A11 over S8)."""
+    base = io.scratch(spark, "running")
+    evidence(spark, sf_dir).repartition(6).write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(evidence(spark, sf_dir).schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    live.keep(live.running(rows), f"{base}/out", f"{base}/state", once=True).awaitTermination()
+    return live.latest(spark, f"{base}/out").drop("closed")
+
+
 # ---------------------------------------------------------------- runs over the tables
 
 _RUN_SQL = """
@@ -767,6 +834,33 @@ def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_evidence(spark, path, multi_line=False).select("candidate", "sample_id", "document_type", "capture_condition", "field_accuracy", "required_field_recall", "classification_correct", "schema_followed", "latency_ms", "gpu_memory_mb", "error", "error_code", "text_char_count", "license_status")
 
 
+@query(
+    f"""WITH {EVIDENCE_SQL} SELECT candidate, CAST(sample_id AS VARCHAR) AS sample_id, document_type, field_accuracy, classification_correct, portrait_quality_score, latency_ms, gpu_memory_mb, license_status, on_prem, error, error_code FROM ev"""
+)
+def evidence_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence written as one JSON array by its tasks, and read back."""
+    path = f"{io.scratch(spark, 'array')}/results.json"
+    io.write_array(evidence(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")).repartition(5), path)
+    return io.read_evidence(spark, path).select("candidate", "sample_id", "document_type", "field_accuracy", "classification_correct", "portrait_quality_score", "latency_ms", "gpu_memory_mb", "license_status", "on_prem", "error", "error_code")
+
+
+@query(
+    """SELECT 's' || s_suppkey AS sample_id, 'glare' AS capture_condition, s_suppkey % 5 <> 0 AS has_expected, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS full_name, CASE WHEN s_suppkey % 5 <> 0 THEN 1 END AS required
+FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 AND CAST(s_suppkey AS VARCHAR) LIKE '%7%'"""
+)
+def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a manifest with the ground truth of those that a filter asks for."""
+    s, base = table(spark, sf_dir, "supplier"), io.scratch(spark, "dataset")
+    k = F.col("s_suppkey")
+    sample = F.struct(F.concat(F.lit("s"), k).alias("sample_id"), F.when(k % 3 == 0, "passport").otherwise("nin_slip").alias("document_type"), F.concat(F.lit("samples/"), k, F.lit(".jpg")).alias("image_path"), F.when(k % 2 == 1, "glare").alias("capture_condition"))
+    s.agg(F.lit("suppliers").alias("name"), F.array_sort(F.collect_list(sample)).alias("samples")).coalesce(1).write.json(f"{base}/manifest")
+    name = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{base}/manifest").select("path").first().path
+    truth = s.where(k % 5 != 0).select(F.concat(F.lit("s"), k).alias("sample_id"), F.create_map(F.lit("full_name"), "s_name").alias("fields"), F.array(F.lit("full_name")).alias("required_fields"))
+    formats.write_expected(truth, f"{base}/expected")
+    got = formats.read_samples(spark, name, f"{base}/expected").where("document_type = 'passport' AND capture_condition IN ('glare', 'low_light')").where(F.col("sample_id").contains("7"))
+    return got.select("sample_id", "capture_condition", "has_expected", F.col("fields")["full_name"].alias("full_name"), F.size("required_fields").alias("required"))
+
+
 @query(
     """SELECT r_name AS manifest_name, n_name AS sample_id, 'passport' AS document_type, 'samples/' || n_nationkey || '.jpg' AS image_path, CASE WHEN n_nationkey % 2 = 0 THEN 'glare' ELSE 'clean' END AS capture_condition,
   CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey"""

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,17 +131,14 @@ def write_jsonl(evidence: DataFrame, path: str) -> None:
 
 
 def write_array(evidence: DataFrame, path: str) -> int:
-    """One JSON array in a local file, for small results, by the candidates' order in the run; rows pass one at a time through the driver."""
-    n = 0
+    """One JSON array in one file, by the candidates' order in the run; tasks write it. The number of rows."""
+    from tallyform.sources.formats import write_array as write
+
     if "ordinal" in evidence.columns:
         evidence = evidence.orderBy("ordinal", "sample_id")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for row in camel_case(evidence).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            f.write((",\n" if n else "\n") + row.j)
-            n += 1
-        f.write("\n]\n")
-    return n
+    seen = Observation()
+    write(camel_case(evidence).observe(seen, F.count("*").alias("n")), path)
+    return seen.get["n"]
 
 
 def write_report(summary: dict, folder: str, meta: dict | None = None) -> tuple[str, str]:
