@@ -94,15 +94,15 @@ def run(a: argparse.Namespace) -> None:
         sys.exit(f"No provider is available: {left_out}")
     off = {"classify": a.no_classify, "extract_text": a.no_text, "extract_portrait": a.no_portrait}
     ops = tuple(c for c in catalog.CAPABILITIES if not off.get(c))
-    evidence = benchmark.run(texts, io.read_expected(spark, f"{a.dataset}/expected"), chosen, ops, images=read)
+    evidence = benchmark.run(texts, io.read_expected(spark, f"{a.dataset}/expected"), chosen, ops, images=read, memory=True)
+    watch = report.HealthWatch(evidence.orderBy("ordinal", "sample_id"), list(chosen))
     run_id = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     out = Path(a.results, run_id)
     out.mkdir(parents=True, exist_ok=True)
-    n = io.write_array(evidence, str(out / "results.json"))
+    n = io.write_array(watch.rows, str(out / "results.json"), in_order=True)
     meta = {"run_id": run_id, "manifest": path, "manifest_name": Path(path).stem, "platform": platform.platform(), "python": platform.python_version(), "sample_count": samples.count(), "providers_requested": names, "unavailable": left_out, "ops": list(ops)}
     (out / "run_meta.json").write_text(json.dumps(meta, indent=2), encoding="utf-8")
-    done = io.read_evidence(spark, str(out / "results.json"))
-    for h in report.run_health(done).collect():
+    for h in watch.health().collect():
         print(f"{h.candidate}: {h.status}, {h.errored} of {h.n} samples had errors, e.g. {h.example}")
     print(f"{n} rows in {out}")
     if not a.no_report:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyform.operators import score
+from tallyform.operators import resources, score
 from tallyform.plans import catalog
 from tallyform.sources.providers import Provider
 
@@ -32,6 +32,7 @@ def run(
     images: DataFrame | None = None,
     capabilities: dict[str, Iterable[str]] | None = None,
     created_at: str | None = None,
+    memory: bool = False,
 ) -> DataFrame:
     """Evidence rows of every provider on every sample, one for each row of samples, ids repeated or not.
 
@@ -40,17 +41,24 @@ def run(
     fields, no portrait. capabilities names what a provider can do, if not everything; the rest of what
     is asked for is listed as skipped. With `images` (image_path), a sample whose image is not among
     them is reported as INVALID_IMAGE. Ground truth columns that the samples happen to carry are kept
-    from the providers; of several ground truths with one id any counts. created_at is the current time
-    by default.
+    from the providers; of several ground truths with one id the least counts, by its fields' names and values. An
+    `image_error` beside images' path names what kept an image from being decoded; its samples are INVALID_IMAGE too.
+    created_at is the current time by default. memory fills peak_memory_mb from the executors.
     """
     samples = samples.drop("fields", "required_fields", "portrait_present", "portrait_bbox")
     if images is not None:
-        here = images.select("image_path").distinct().withColumn("image_ok", F.lit(True))
-        samples = samples.drop("image_ok").join(here, "image_path", "left").withColumn("image_ok", F.coalesce("image_ok", F.lit(False)))
-    truth = expected.select("sample_id", F.struct("fields", "required_fields", "portrait_present").alias("expected")).groupBy("sample_id").agg(F.any_value("expected").alias("expected"))
+        fault = F.col("image_error") if "image_error" in images.columns else F.lit(None).cast("string")
+        here = images.select("image_path", fault.alias("image_error")).groupBy("image_path").agg(F.max("image_error").alias("image_error"), F.lit(True).alias("_here"))
+        samples = samples.drop("image_ok", "image_error").join(here, "image_path", "left")
+        missing = F.when(F.col("_here").isNull(), "FileNotFoundError")
+        samples = samples.withColumn("image_error", F.coalesce("image_error", missing)).withColumn("image_ok", F.col("image_error").isNull()).drop("_here")
+    truth = expected.select("sample_id", F.struct("fields", "required_fields", "portrait_present").alias("expected"))
+    by = F.struct(F.array_sort(F.map_entries("expected.fields")), "expected.required_fields", "expected.portrait_present")
+    truth = truth.groupBy("sample_id").agg(F.min_by("expected", by).alias("expected"))
     parts = []
     for i, (name, f) in enumerate(providers.items()):
-        got = f(samples).withColumns({"candidate": F.lit(name), "ordinal": F.lit(i)})
+        got = f(samples)
+        got = (resources.with_peak_memory(got) if memory else got).withColumns({"candidate": F.lit(name), "ordinal": F.lit(i)})
         can = catalog.CAPABILITIES if capabilities is None else list(capabilities.get(name, catalog.CAPABILITIES))
         for op, blank in BLANK.items():
             if op not in ops or op not in can:

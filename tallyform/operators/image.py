@@ -128,6 +128,24 @@ def assess_images(images: DataFrame, decode: Callable[[bytes], np.ndarray], cont
     return out.withColumn("quality", quality).drop("_lap", "_bright", "_lum", "_cut", "_h", "_w")
 
 
+def with_image_error(images: DataFrame, decode: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:
+    """images with image_error: the name of the error that decode raises for an image's content, else null. A null content is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            faults: list[str | None] = []
+            for raw in batch.column(content):
+                try:
+                    decode(raw.as_py() or b"")
+                    faults.append(None)
+                except Exception as e:  # noqa: BLE001  any codec error means that the image cannot be read
+                    faults.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(faults, pa.string())], [*batch.schema.names, "image_error"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema)
+    return images.mapInArrow(run, fields + ", image_error string")
+
+
 def _box_blur(a: np.ndarray, radius: float) -> np.ndarray:
     """Gaussian blur by a separable kernel."""
     r = max(1, int(round(3 * radius)))

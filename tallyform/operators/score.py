@@ -88,7 +88,7 @@ def skipped_capabilities(requested: Column, supported: Column) -> Column:
 
 
 #: Columns of runs that may be missing, and their type.
-OPTIONAL = {"provider_version": "string", "model_version": "string", "ordinal": "int", "peak_memory_mb": "double", "gpu_memory_mb": "double"}
+OPTIONAL = {"provider_version": "string", "model_version": "string", "ordinal": "int", "peak_memory_mb": "double", "gpu_memory_mb": "double", "image_error": "string"}
 
 
 def score_runs(runs: DataFrame, providers: DataFrame, created_at: str | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def score_runs(runs: DataFrame, providers: DataFrame, created_at: str | None = N
     portrait = ok & F.coalesce(F.col("portrait.available"), F.lit(False))
     wanted = ok & F.coalesce(F.col("expected.portrait_present"), F.lit(False))
     code = F.when(F.col("_missing"), "MISSING_EXPECTED").when(F.col("_bad"), "INVALID_IMAGE").otherwise(F.col("error_code"))
-    text = F.when(F.col("_missing"), "missing expected ground truth").when(F.col("_bad"), "image load failed").otherwise(F.col("error"))
+    text = F.when(F.col("_missing"), "missing expected ground truth").when(F.col("_bad"), F.concat_ws(": ", F.lit("image load failed"), "image_error")).otherwise(F.col("error"))
     return out.select(
         "candidate",
         "document_type",

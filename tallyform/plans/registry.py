@@ -948,3 +948,6 @@ def no_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that a model is asked for, by document type."""
     return spark.createDataFrame([(t, extract.field_prompt(t)) for t in catalog.SCHEMAS], "document_type string, prompt string")
+
+
+from tallyform.plans import runs  # noqa: E402, F401  more queries, which register themselves

@@ -130,11 +130,11 @@ def write_jsonl(evidence: DataFrame, path: str) -> None:
     camel_case(evidence).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_array(evidence: DataFrame, path: str) -> int:
-    """One JSON array in one file, by the candidates' order in the run; tasks write it. The number of rows."""
+def write_array(evidence: DataFrame, path: str, in_order: bool = False) -> int:
+    """One JSON array in one file, by the candidates' order in the run unless the rows are in_order; tasks write it. The number of rows."""
     from tallyform.sources.formats import write_array as write
 
-    if "ordinal" in evidence.columns:
+    if "ordinal" in evidence.columns and not in_order:
         evidence = evidence.orderBy("ordinal", "sample_id")
     seen = Observation()
     write(camel_case(evidence).observe(seen, F.count("*").alias("n")), path)

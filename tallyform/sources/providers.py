@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import json
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,26 +76,55 @@ def json_answers(samples: DataFrame, answer: str = "answer", class_answer: str |
     return _finish(out if "text" in out.columns else out.withColumn("text", F.lit("")))
 
 
-def ask(samples: DataFrame, chat: extract.Chat, system: str = "You read documents.", content: str = "content") -> DataFrame:
+def ask(samples: DataFrame, chat: extract.Chat, system: str = "You read documents.", content: str = "content", in_flight: int = 8, retries: int = 0, backoff_s: float = 0.5, deadline_s: float | None = None) -> DataFrame:
     """samples with the endpoint's `answer` for each image, its latency, and the error where a call failed.
 
-    Calls run in the tasks of the samples' partitions, one at a time each; a failed call costs its row
-    only, with code PROVIDER_PARTIAL_FAILURE.
+    A task has up to in_flight calls under way at once and takes their answers in the order of its rows. A call that
+    fails is made again up to `retries` times, after backoff_s and twice as long each time, while deadline_s (seconds for
+    all tries of a row, from the first) is not over; one that is still under way then is given up as a TimeoutError. A
+    failed call costs its row only, with code PROVIDER_PARTIAL_FAILURE. latency_ms covers all tries.
     """
 
+    def call(kind: str, raw: bytes | None, began: list[float]) -> tuple[str | None, str | None, float]:
+        began.append(time.perf_counter())
+        tried = 0
+        while True:
+            try:
+                answer, error = chat(system, f"Give these fields as one JSON object: {extract.field_prompt(kind)}", bytes(raw or b"")), None
+            except Exception as e:  # noqa: BLE001  a provider may fail in any way
+                answer, error = None, f"extract_fields: {type(e).__name__}"
+            pause = backoff_s * 2**tried
+            tried += 1
+            spent = time.perf_counter() - began[0]
+            if error is None or tried > retries or (deadline_s is not None and spent + pause > deadline_s):
+                return answer, error, round(spent * 1000, 1)
+            time.sleep(pause)
+
+    def answered(future: Future, began: list[float]) -> tuple[str | None, str | None, float]:
+        while True:
+            left = None if deadline_s is None else deadline_s - (time.perf_counter() - began[0] if began else 0.0)
+            try:
+                return future.result(left if left is None else max(left, 0.001))
+            except FutureTimeout:
+                if began and time.perf_counter() - began[0] >= deadline_s:
+                    return None, "extract_fields: TimeoutError", round(deadline_s * 1000, 1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers, errors, took = [], [], []
-            for kind, raw in zip(pdf["document_type"], pdf[content]):
-                began = time.perf_counter()
-                try:
-                    answers.append(chat(system, f"Give these fields as one JSON object: {extract.field_prompt(kind)}", bytes(raw or b"")))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  a provider may fail in any way
-                    answers.append(None)
-                    errors.append(f"extract_fields: {type(e).__name__}")
-                took.append(round((time.perf_counter() - began) * 1000, 1))
-            yield pdf.assign(answer=answers, error=errors, _ms=took)
+        pool = ThreadPoolExecutor(max_workers=in_flight)
+        try:
+            for pdf in batches:
+                window: deque[tuple[Future, list[float]]] = deque()
+                done = []
+                for kind, raw in zip(pdf["document_type"], pdf[content]):
+                    if len(window) == in_flight:
+                        done.append(answered(*window.popleft()))
+                    began: list[float] = []
+                    window.append((pool.submit(call, kind, raw, began), began))
+                done += [answered(*w) for w in window]
+                answers, errors, took = zip(*done) if done else ([], [], [])
+                yield pdf.assign(answer=answers, error=errors, _ms=took)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
     out = samples.mapInPandas(run, fields + ", answer string, error string, _ms double")
@@ -131,6 +164,62 @@ def analyze(samples: DataFrame, ops: dict[str, Callable[[dict], object]]) -> Dat
     return samples.mapInPandas(run, fields + ", results map<string,string>, latency_ms map<string,double>, error string, error_code string, skipped array<string>")
 
 
+BatchOp = Callable[[pa.RecordBatch], list]
+
+
+def _isolated(op: BatchOp, batch: pa.RecordBatch) -> Iterator[tuple[object, Exception | None]]:
+    """Result or error of every row, in order. A part that fails is cut in halves until its failing rows stand alone."""
+    todo = [(0, batch.num_rows)]
+    while todo:
+        a, b = todo.pop()
+        if a == b:
+            continue
+        try:
+            got = op(batch.slice(a, b - a))
+            if len(got) != b - a:
+                raise ValueError(f"{len(got)} results for {b - a} rows")
+            yield from ((x, None) for x in got)
+        except Exception as e:  # noqa: BLE001  an operation may fail in any way
+            if b - a == 1:
+                yield None, e
+            else:
+                middle = (a + b) // 2
+                todo += [(middle, b), (a, middle)]
+
+
+def analyze_batches(samples: DataFrame, ops: dict[str, BatchOp | None]) -> DataFrame:
+    """analyze() for operations on whole Arrow batches, which give a list of one result a row.
+
+    Where a batch fails, about 2 log2 n calls more find each failing row of its n; all other rows keep their results. An
+    operation has to give a row the same result in any batch. The time of a batch is shared out among its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skipped = [name for name, op in ops.items() if op is None]
+        for batch in batches:
+            n = batch.num_rows
+            results, took, errors = [{} for _ in range(n)], {}, [[] for _ in range(n)]
+            for name, op in ops.items():
+                if op is None:
+                    continue
+                began = time.perf_counter()
+                for i, (value, error) in enumerate(_isolated(op, batch)):
+                    if error is None:
+                        results[i][name] = json.dumps(value)
+                    else:
+                        errors[i].append(f"{name}: {type(error).__name__}: {error}")
+                took[name] = round((time.perf_counter() - began) * 1000 / max(n, 1), 4)
+            took["total"] = round(sum(took.values()), 4)
+            more = [
+                pa.array([list(r.items()) for r in results], pa.map_(pa.string(), pa.string())), pa.array([list(took.items())] * n, pa.map_(pa.string(), pa.float64())),
+                pa.array(["; ".join(e) or None for e in errors], pa.string()), pa.array(["PROVIDER_PARTIAL_FAILURE" if e else None for e in errors], pa.string()), pa.array([skipped] * n, pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "results", "latency_ms", "error", "error_code", "skipped"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
+    return samples.mapInArrow(run, fields + ", results map<string,string>, latency_ms map<string,double>, error string, error_code string, skipped array<string>")
+
+
 def probe(list_models: Callable[[], list[str]], model: str) -> tuple[bool, str | None]:
     """Whether an endpoint answers and serves the model, and the reason if not."""
     try:
@@ -140,6 +229,18 @@ def probe(list_models: Callable[[], list[str]], model: str) -> tuple[bool, str |
     return (True, None) if model in served else (False, f"model {model!r} is not served (served: {', '.join(served) or 'none'})")
 
 
+def probe_endpoints(endpoints: DataFrame, list_models: Callable[[dict], list[str]], model: str = "model") -> DataFrame:
+    """endpoints with ok and reason (see probe), asked from the tasks; list_models gets the row as a dictionary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen = [probe(lambda row=row: list_models(row), row[model]) for row in pdf.to_dict("records")]
+            yield pdf.assign(ok=[s[0] for s in seen], reason=[s[1] for s in seen])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in endpoints.schema)
+    return endpoints.mapInPandas(run, fields + ", ok boolean, reason string")
+
+
 PROVIDERS: dict[str, Provider] = {"mock": mock, "plain": plain, "text": labelled, "json": json_answers}
 
 
