@@ -670,8 +670,10 @@ def synthetic_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def benchmark_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated samples through three providers, scored (S13-S16, E3-E5, J1-J8, Q1-Q9). Values come from a hash that SQL lacks."""
-    s = _generated(spark, sf_dir)
+    """Generated samples through three providers, scored (S13-S16, E3-E5, J1-J8, Q1-Q9); generated_values and rendered_texts check what goes in."""
+    path = io.scratch(spark, "generated")
+    _generated(spark, sf_dir).write.parquet(path)
+    s = spark.read.parquet(path)
     out = benchmark.run(s, s, {"mock": providers.mock, "tesseract": providers.plain, "paddleocr-vl": providers.labelled})
     return out.select("candidate", "sample_id", "document_type", "capture_condition", "classification_correct", "field_accuracy", "required_field_recall", "schema_followed", "portrait_expected", "text_char_count", "error_code")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyform.operators import benchmark, extract, image, report
+from tallyform.plans import catalog
 from tallyform.plans.inputs import evidence, table
 from tallyform.plans.registry import ORACLES, query
-from tallyform.sources import io, providers
+from tallyform.sources import generate, io, providers
 
 
 @query(
@@ -97,3 +100,90 @@ def broken_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = samples.select("sample_id", F.create_map(F.lit("nin"), F.lit("1")).alias("fields"), F.array().cast("array<string>").alias("required_fields"), F.lit(False).alias("portrait_present"))
     out = benchmark.run(samples, truth, {"mock": providers.mock}, images=images)
     return out.select("sample_id", "error", "error_code", F.col("classification_correct").isNotNull().alias("classification_known"))
+
+
+# ---------------------------------------------------------------- generated values
+
+
+class _DrawsSql:
+    """The generator's draws in SQL; a column `seed` is at hand."""
+
+    def below(self, salt: str, n: int) -> str:
+        return f"(('0x' || substr(md5(seed || '|{salt}'), 1, 15))::BIGINT % {n})"
+
+    def pick(self, salt: str, options: list[str]) -> str:
+        return f"{options}[{self.below(salt, len(options))} + 1]"
+
+    def digits(self, salt: str, n: int) -> str:
+        if n > 15:
+            return f"{self.digits(salt + '.1', 15)} || {self.digits(salt + '.2', n - 15)}"
+        return f"lpad({self.below(salt, 10**n)}::VARCHAR, {n}, '0')"
+
+    def days(self, start: str, sign: str, n: str) -> str:
+        return f"(DATE '{start}' {sign} CAST({n} AS INTEGER))::VARCHAR"
+
+    def field(self, field: str, kind: str, today: str = "2026-01-01") -> str:
+        g = generate
+        money = {"amount_due": (2000, 45000), "opening_balance": (0, 999999), "closing_balance": (0, 999999)}
+        past, future = {"issue_date": 5, "registration_date": 5, "incorporation_date": 10}, {"due_date": (0, 1), "expiry_date": (1, 8)}
+        lead = {"passport_number": (self.pick("p", list("ABCN")), 8), "registration_number": ("'RC'", 7), "phone_number": ("'0'", 10), "tracking_id": (f"{self.pick('t1', g.LETTERS)} || {self.pick('t2', g.LETTERS)}", 8)}
+        lead["drivers_license_number"] = f"upper(substr({self.pick('surname', g.SURNAME)}, 1, 3))", 8
+        if field in g.DIGITS:
+            return self.digits(field, 19 if (field, kind) == ("document_number", "voter_id") else g.DIGITS[field])
+        if field in g.OPTIONS:
+            return self.pick(field, g.OPTIONS[field])
+        if field in money:
+            low, high = money[field]
+            return f"'N' || format('{{:,}}', {low} + {self.below(field, high - low + 1)}) || '.00'"
+        if field in past:
+            return self.days(today, "-", f"30 + {self.below(field, 365 * past[field] - 29)}")
+        if field in future:
+            low, high = future[field]
+            return self.days(today, "+", f"365 * ({low} + {self.below(field, high - low + 1)})")
+        if field in lead:
+            return f"{lead[field][0]} || {self.digits(field, lead[field][1])}"
+        bank = self.pick(field, g.BANKS) if kind == "bank_statement" else "'Passport Office'" if kind == "passport" else "'Electric Company'"
+        return {
+            "full_name": " || ' ' || ".join(self.pick(f, g.OPTIONS[f]) for f in ("first_name", "middle_name", "surname")),
+            "date_of_birth": self.days("1965-01-01", "+", self.below(field, 365 * 45 + 1)),
+            "address": f"{self.pick('street', g.STREETS)} || ', ' || {self.pick('city', g.CITIES)}",
+            "nationality": "'NIGERIAN'" if kind == "passport" else "'Nigerian'",
+            "height": f"(150 + {self.below(field, 46)}) || 'cm'",
+            "company_name": f"{self.pick('c1', g.COMPANY)} || ' ' || {self.pick('c2', g.TRADE)}",
+            "issuing_authority": bank,
+        }[field]
+
+
+def _values_sql() -> str:
+    """(document_type, number, field, value) of as many documents of each type as there are suppliers."""
+    n = "(SELECT count(*) FROM supplier)"
+    parts = [
+        f"SELECT '{k}' AS document_type, number, unnest({list(fields)}) AS field, unnest([{', '.join(_DrawsSql().field(f, k) for f in fields)}]) AS value FROM (SELECT number, CAST(1001 + {t} * {n} + number AS VARCHAR) AS seed FROM s)"
+        for t, (k, fields) in enumerate(catalog.SCHEMAS.items())
+    ]
+    return f"s AS (SELECT row_number() OVER () - 1 AS number FROM supplier), g AS ({' UNION ALL '.join(parts)})"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.base_documents(spark, per_type=table(spark, sf_dir, "supplier").count(), today=date(2026, 1, 1))
+
+
+@query(f"WITH {_values_sql()} SELECT * FROM g")
+def generated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field values of generated documents, as many of each type as there are suppliers."""
+    return _documents(spark, sf_dir).select("document_type", "number", F.explode("fields").alias("field", "value"))
+
+
+def _text_sql() -> str:
+    labels = " UNION ALL ".join(f"SELECT '{f}' AS field, '{label}' AS label, {i} AS pos" for i, (f, label) in enumerate(generate.PRINTED.items()))
+    titles = " UNION ALL ".join("SELECT '{}' AS document_type, '{}' AS title".format(k, generate.TITLES[k].replace("'", "''").replace("\n", "' || chr(10) || '")) for k in catalog.SCHEMAS)
+    both = [k for k, f in catalog.SCHEMAS.items() if "surname" in f and "first_name" in f]
+    return f"""WITH {_values_sql()}, l AS ({labels}), t AS ({titles})
+SELECT document_type, number, any_value(title) || chr(10) || string_agg(label || ': ' || value, chr(10) ORDER BY pos) || chr(10) || 'SPECIMEN - NOT A REAL DOCUMENT' AS text
+FROM g JOIN l USING (field) JOIN t USING (document_type) WHERE NOT (field = 'full_name' AND document_type IN {tuple(both)}) GROUP BY document_type, number"""
+
+
+@query(_text_sql())
+def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed texts of generated documents."""
+    return _documents(spark, sf_dir).select("document_type", "number", "text")
