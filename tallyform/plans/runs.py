@@ -187,3 +187,54 @@ FROM g JOIN l USING (field) JOIN t USING (document_type) WHERE NOT (field = 'ful
 def rendered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed texts of generated documents."""
     return _documents(spark, sf_dir).select("document_type", "number", "text")
+
+
+# ---------------------------------------------------------------- every column of an evidence row
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS i, doc_id % 11 <> 7 AS ok, coalesce(length(text), 0) AS n FROM documents)
+SELECT CAST(i AS VARCHAR) AS sample_id, CASE WHEN ok THEN CASE WHEN i % 3 = 0 THEN 1e0 ELSE 0e0 END END AS nin_score, CASE WHEN ok THEN (i % 8) / 8e0 ELSE 0e0 END AS classification_confidence,
+  ok AND i % 2 = 0 AS portrait_expected, ok AND i % 4 = 0 AS portrait_extracted, CASE WHEN ok THEN (i % 5) / 4e0 ELSE 0e0 END AS portrait_quality_score, CASE WHEN ok THEN n ELSE 0 END AS text_char_count,
+  CASE WHEN ok THEN i + 0.5e0 ELSE 0e0 END AS latency_ms, CASE WHEN ok THEN i + 0e0 END AS classify_ms, CASE WHEN ok THEN 100e0 + i % 7 END AS peak_memory_mb, CASE WHEN ok AND i % 6 <> 0 THEN i % 6 * 10e0 END AS gpu_memory_mb,
+  CASE WHEN ok THEN 'v' || (i % 3) END AS provider_version, CASE WHEN ok THEN 'm' || (i % 2) END AS model_version, true AS on_prem, CASE WHEN NOT ok THEN 'missing expected ground truth' WHEN i % 13 = 0 THEN 'classify: TimeoutError' END AS error,
+  CASE WHEN NOT ok THEN 'MISSING_EXPECTED' WHEN i % 13 = 0 THEN 'PROVIDER_PARTIAL_FAILURE' END AS error_code, CASE WHEN ok AND i % 4 = 2 THEN ['expected portrait not extracted'] ELSE []::VARCHAR[] END AS notes FROM s"""
+)
+def run_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portraits that were extracted, field scores, latencies, memory, versions and errors of evidence rows (Q6, Q8)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("sample_id"), F.lit("nin_slip").alias("document_type"), F.lit("x.jpg").alias("image_path"), F.lit("clean").alias("capture_condition"), "text")
+    i = F.col("doc_id")
+
+    def provider(samples: DataFrame) -> DataFrame:
+        return samples.withColumns({
+            "classification": F.struct(F.lit("nin_slip").alias("document_type"), (i % 8 / 8.0).alias("confidence")),
+            "fields": F.create_map(F.lit("nin"), F.when(i % 3 == 0, "123 456 789 01").otherwise("1")), "schema_followed": F.lit(True),
+            "portrait": F.struct((i % 4 == 0).alias("available"), (i % 5 / 4.0).alias("quality_score")),
+            "latency_ms": F.create_map(F.lit("classify"), i.cast("double"), F.lit("total"), i + 0.5), "skipped": F.array().cast("array<string>"), "image_ok": F.lit(True),
+            "error": F.when(i % 13 == 0, "classify: TimeoutError"), "error_code": F.when(i % 13 == 0, "PROVIDER_PARTIAL_FAILURE"),
+            "provider_version": F.concat(F.lit("v"), i % 3), "model_version": F.concat(F.lit("m"), i % 2),
+            "peak_memory_mb": 100.0 + i % 7, "gpu_memory_mb": F.when(i % 6 != 0, i % 6 * 10.0),
+        })
+
+    truth = d.where(i % 11 != 7).select("sample_id", F.create_map(F.lit("nin"), F.lit("12345678901")).alias("fields"), F.array(F.lit("nin")).alias("required_fields"), (i % 2 == 0).alias("portrait_present"))
+    e = benchmark.run(d, truth, {"own": provider})
+    return e.select(
+        "sample_id", F.try_element_at("per_field_scores", F.lit("nin")).alias("nin_score"), "classification_confidence", "portrait_expected", "portrait_extracted", "portrait_quality_score", "text_char_count",
+        "latency_ms", F.try_element_at("latency_breakdown", F.lit("classify")).alias("classify_ms"), "peak_memory_mb", "gpu_memory_mb", "provider_version", "model_version", "on_prem", "error", "error_code", "notes",
+    )
+
+
+_TYPES = list(catalog.SCHEMAS)
+
+
+@query(
+    "SELECT conv_id, turn, CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {i} THEN '{', '.join(catalog.SCHEMAS[t])}'" for i, t in enumerate(_TYPES)) + " END AS asked FROM conversations"
+)
+def prompted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that the prompt for each document's type asks for, read back from the prompt."""
+    c = table(spark, sf_dir, "conversations")
+    prompts = F.array(*[F.lit(extract.field_prompt(t)) for t in _TYPES])
+    prompt = F.element_at(prompts, ((F.col("conv_id") + F.col("turn")) % len(_TYPES) + 1).cast("int"))
+    names = F.array(*[F.lit(f) for f in sorted({f for s in catalog.SCHEMAS.values() for f in s})])
+    found = F.array_sort(F.transform(F.filter(names, lambda f: F.regexp_instr(prompt, F.concat(F.lit(r"\b"), f, F.lit(r"\b")), 0) > 0), lambda f: F.struct(F.regexp_instr(prompt, F.concat(F.lit(r"\b"), f, F.lit(r"\b")), 0).alias("at"), f.alias("f"))))
+    return c.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["f"]), ", ").alias("asked"))
