@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, slices, utf8_view
 
 SHARE = 0.8
+#: Windows of one text whose alignment is kept at once.
+KNOWN = 4096
 _WORDS = re.compile(r"\w+")
 
 #: Texts of public notices (fixed values); beside whole ones (-full, -Clause) the parts of them that often stand alone.
@@ -138,6 +140,28 @@ def _spread(place: tuple[int, int], hits: Iterable[tuple[int, int]]) -> bool:
     return bool(near) and min(y for _, y in near) <= max(x for x, _ in near)
 
 
+class _Shared:
+    """Words that a window which only moves forward shares with a template, each as often as in both."""
+
+    def __init__(self, words: list[str], bag: dict[str, int]) -> None:
+        self.words, self.bag, self.a, self.b, self.n, self.total = words, bag, 0, 0, Counter(), 0
+
+    def at(self, a: int, b: int) -> int:
+        if a >= self.b:
+            self.a = self.b = a
+            self.n, self.total = Counter(), 0
+        for w in self.words[self.b : b]:
+            if w in self.bag:
+                self.n[w] += 1
+                self.total += self.n[w] <= self.bag[w]
+        for w in self.words[self.a : a]:
+            if w in self.bag:
+                self.total -= self.n[w] <= self.bag[w]
+                self.n[w] -= 1
+        self.a, self.b = a, max(b, self.b)
+        return self.total
+
+
 class Scanner:
     """Templates with their cue words."""
 
@@ -160,6 +184,24 @@ class Scanner:
             cues |= set(at)
         self.cue = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(cues))) + r")\b") if cues else None
 
+    @staticmethod
+    def _matched(want: list[str], bits: dict[str, int], need: int, window: list[str], known: dict[tuple[str, ...], tuple[int, int, int] | None]) -> tuple[int, int, int] | None:
+        """(first word, words, matched words) of the template in a window, None where too few match; equal windows are aligned once.
+
+        The length of a longest common subsequence bounds what any alignment matches, and is far cheaper to have.
+        """
+        key = tuple(window)
+        if key not in known:
+            if len(known) == KNOWN:
+                known.clear()
+            known[key] = None
+            if common_length(bits, len(want), window) >= need:
+                hit = align(want, window)
+                if len(hit) < need:
+                    hit = common([(w, i) for i, w in enumerate(want)], [(w, i) for i, w in enumerate(window) if w in bits])
+                known[key] = hit[0][1], hit[-1][1] - hit[0][1] + 1, len(hit)
+        return known[key]
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, words) of every notice, in text order.
 
@@ -177,6 +219,7 @@ class Scanner:
             starts = sorted({p - i for w, own in at.items() for p in places.get(w, ()) for i in own})
             slack, m, i = len(want) // 4 + 2, len(want), 0
             bag, hits = Counter(want), {}
+            known: dict[tuple[str, ...], tuple[int, int, int] | None] = {}
             while i < len(starts):
                 # Starts within one slack of each other belong to one place; a run of them is cut at a template's length.
                 j = i
@@ -185,13 +228,12 @@ class Scanner:
                 a, b = max(0, starts[i] - slack), min(len(words), starts[j] + m + slack)
                 if sum((Counter(words[a:b]) & bag).values()) >= need:
                     # The run as a whole, and a template's length from every start for copies that follow one another.
-                    for a, b in ((a, b), *((max(0, s), min(len(words), s + m)) for s in starts[i : j + 1])):
-                        hit = align(want, words[a:b])
-                        if len(hit) < need <= common_length(bits, m, words[a:b]):
-                            hit = common([(w, i) for i, w in enumerate(want)], [(w, i) for i, w in enumerate(words[a:b]) if w in bits])
-                        if len(hit) >= need:
-                            place = a + hit[0][1], hit[-1][1] - hit[0][1] + 1
-                            hits[place] = max(len(hit), hits.get(place, 0))
+                    shared = _Shared(words, bag)
+                    for a, b in ((a, b), *((max(0, s), min(len(words), s + m)) for s in starts[i : j + 1] if shared.at(max(0, s), min(len(words), s + m)) >= need)):
+                        hit = self._matched(want, bits, need, words[a:b], known)
+                        if hit:
+                            place = a + hit[0], hit[1]
+                            hits[place] = max(hit[2], hits.get(place, 0))
                 i = j + 1
             found += [(n, name, round(n / m, 4), *place) for place, n in hits.items() if place[1] <= m or not _spread(place, hits)]
         taken: list[tuple[int, int]] = []

@@ -63,3 +63,18 @@ def test_long_and_odd_texts(spark):
     rows = [(1, "word " * 1_000_000 + mit + " word" * 1_000_000), (2, "software " * 100_000), (3, None), (4, "")]
     got = {r.doc_id: (r.license, r.n_spans) for r in licenses.scan_licenses(fixture.frame(spark, rows)).collect()}
     assert got == {1: ("MIT-full", 1), 2: (None, 0), 3: (None, 0), 4: (None, 0)}
+
+
+def test_dense_texts_take_little_time():
+    import random
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    name, long = max(licenses.TEMPLATES.items(), key=lambda t: len(t[1]))
+    began = time.process_time()
+    spans = scanner.scan("\n".join([long] * 320))
+    assert [s[0] for s in spans] == [name] * 320 and all(s[1] == 1.0 for s in spans)
+    rng = random.Random(1)
+    pool = [w for t in licenses.TEMPLATES.values() for w in licenses.words_of(t)]
+    scanner.scan(" ".join(rng.choice(pool) for _ in range(20_000)))
+    assert time.process_time() - began < 20
