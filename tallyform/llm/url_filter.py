@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices
 
-BUCKETS, GRAMS, ROUNDS, RATE, DECAY, CUT = 1 << 16, (3, 4, 5), 200, 0.5, 1e-5, 0.5
+BUCKETS, GRAMS, ROUNDS, RATE, DECAY, CUT = 1 << 16, (3, 4, 5), 200, 0.5, 1e-5, 0.4
 
 #: Rules of the production query: verdict and host with path prefix (fixed values).
 RULES = (

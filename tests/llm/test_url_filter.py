@@ -37,7 +37,7 @@ def test_held_out_urls():
         want += [bool(y) for *_, y in out]
     got, want = np.array(got), np.array(want)
     assert len(want) == len(rows)
-    assert (got & want).sum() / got.sum() > 0.95 and (got & want).sum() / want.sum() > 0.5
+    assert (got & want).sum() / got.sum() > 0.9 and (got & want).sum() / want.sum() > 0.9
 
 
 def slow_grams(host, path, buckets):
@@ -79,3 +79,23 @@ def test_split_equals_the_columns(spark):
 def test_labelled_table_is_read_whole():
     rows = url_filter.labelled_urls()
     assert len(rows) > 400 and {y for *_, y in rows} == {0, 1} and ("viagra.shop", "/", 1) in rows and ("", "", 0) in rows
+
+
+def test_fit_against_a_plain_version():
+    """Full gradient steps, scaled by the gradients so far, one weight at a time."""
+    rows = [("casino.example", "/play", 1), ("museum.example", "/maps/12", 0), ("", "", 0), ("casino-bets.example", "/", 1), ("maps.example", "/play", 0)]
+    buckets, rounds, rate, decay = 32, 7, 0.5, 1e-2
+    own = [slow_grams(h, p, buckets) for h, p, _ in rows]
+    w, seen = [0.0] * (buckets + 1), [1e-12] * (buckets + 1)
+    for _ in range(rounds):
+        grad = [decay * x for x in w[:-1]] + [0.0]
+        for g, (_, _, y) in zip(own, rows):
+            unit = max(len(g), 1) ** -0.5
+            off = (1 / (1 + np.exp(-(sum(w[b] * unit for b in g) + w[-1]))) - y) / len(rows)
+            for b in g:
+                grad[b] += off * unit
+            grad[-1] += off
+        for i, g in enumerate(grad):
+            seen[i] += g * g
+            w[i] -= rate * g / seen[i] ** 0.5
+    assert url_filter.fit(rows, buckets, rounds, rate, decay) == pytest.approx(w)
