@@ -848,7 +848,7 @@ def evidence_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT 's' || s_suppkey AS sample_id, 'glare' AS capture_condition, s_suppkey % 5 <> 0 AS has_expected, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS full_name, CASE WHEN s_suppkey % 5 <> 0 THEN 1 END AS required
-FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 AND CAST(s_suppkey AS VARCHAR) LIKE '%7%'"""
+FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 AND s_suppkey <> 3"""
 )
 def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a manifest with the ground truth of those that a filter asks for."""
@@ -859,7 +859,7 @@ def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{base}/manifest").select("path").first().path
     truth = s.where(k % 5 != 0).select(F.concat(F.lit("s"), k).alias("sample_id"), F.create_map(F.lit("full_name"), "s_name").alias("fields"), F.array(F.lit("full_name")).alias("required_fields"))
     formats.write_expected(truth, f"{base}/expected")
-    got = formats.read_samples(spark, name, f"{base}/expected").where("document_type = 'passport' AND capture_condition IN ('glare', 'low_light')").where(F.col("sample_id").contains("7"))
+    got = formats.read_samples(spark, name, f"{base}/expected").where("document_type = 'passport' AND capture_condition IN ('glare', 'low_light')").where("sample_id <> 's3'")
     return got.select("sample_id", "capture_condition", "has_expected", F.col("fields")["full_name"].alias("full_name"), F.size("required_fields").alias("required"))
 
 
