@@ -152,9 +152,10 @@ def test_of_several_ground_truths_the_least_counts(spark):
         assert [r.field_accuracy for r in out] == [1.0]
 
 
-@pytest.mark.parametrize("few", [10_000, 1])
-def test_percentiles_are_exact(spark, monkeypatch, few):
+@pytest.mark.parametrize("few,small", [(10_000, 0), (1, 0), (1, 1 << 40)])
+def test_percentiles_are_exact(spark, monkeypatch, few, small):
     monkeypatch.setattr(report, "FEW_KEYS", few)
+    monkeypatch.setattr(report, "SMALL_BYTES", small)
     monkeypatch.setattr(report, "SKETCH", 1 << 11)
     monkeypatch.setattr(report, "RANK_ERROR", 0.02)
     rng = random.Random(4)
@@ -168,7 +169,9 @@ def test_percentiles_are_exact(spark, monkeypatch, few):
             assert out[k] == pytest.approx(np.round(np.percentile(vs, [0, 50, 95, 100]), 1), abs=0.051), k
 
 
-def test_a_null_candidate_keeps_its_percentiles(spark):
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_a_null_candidate_keeps_its_percentiles(spark, monkeypatch, small):
+    monkeypatch.setattr(report, "SMALL_BYTES", small)
     e = spark.createDataFrame([(None, "s1", 10.0), (None, "s2", 20.0), ("a", "s3", 0.0)], "candidate string, sample_id string, latency_ms double")
     for c, t in {"field_accuracy": "double", "required_field_recall": "double", "classification_correct": "boolean", "schema_followed": "boolean", "portrait_extracted": "boolean", "portrait_expected": "boolean", "portrait_quality_score": "double", "gpu_memory_mb": "double", "cost_estimate": "string", "license_status": "string", "on_prem": "boolean", "error_code": "string"}.items():
         e = e.withColumn(c, F.lit(None).cast(t))
