@@ -14,6 +14,9 @@ Blocks are lossless for every setting; the setting only moves work.
 Only distinct fingerprints take part; rows follow by an equi-join. A block with more members than
 `chunk` is cut into chunks by hash, and each pair of chunks is one group, so no task ever holds more
 than about two chunks of one block. Groups emit links to the smallest linked member, not pairs.
+
+Joins are merge joins by hint: Spark takes exploded keys to be as large as the fingerprints that they
+come from, and would send one side through the driver as a broadcast that grows with the table.
 """
 
 from __future__ import annotations
@@ -183,7 +186,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int
     masks = block_masks(max_bits, blocks)
     keys = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
-    met = keys.join(shared, "key")
+    met = keys.hint("merge").join(shared.hint("merge"), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int").alias("own")
     met = met.select("key", "fp", own, F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
@@ -205,12 +208,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = fingerprint_links(distinct.select("fp"), max_bits)
     roots = materialize(connected_components(links), "roots")
-    low = distinct.join(roots, distinct.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(low, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    low = distinct.hint("merge").join(roots.hint("merge"), distinct.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.hint("merge").join(low.hint("merge"), "root").select(F.col("node").alias("fp"), "root", "component_id")
     # Written out, so that the last join has nothing but two exchanges under it and a fingerprint that
     # very many rows share can be split.
-    label = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(materialize(label, "labels"), "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+    label = distinct.hint("merge").join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.hint("merge").join(materialize(label, "labels").hint("merge"), "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -222,5 +225,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     named = docs.where(F.col(doc_id).isNotNull()).withColumns({"__tf_id": F.col(doc_id).cast("long"), "__tf_key": F.xxhash64(text)})
     marked = near_duplicates(named, doc_id, text, max_bits).where("doc_id = component_id")
     first = marked.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select(F.col("k.doc_id").alias("__tf_id"), F.col("k.row_key").alias("__tf_key"))
-    kept = named.join(first, ["__tf_id", "__tf_key"], "left_semi").dropDuplicates(["__tf_id", "__tf_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = named.hint("merge").join(first.hint("merge"), ["__tf_id", "__tf_key"], "left_semi").dropDuplicates(["__tf_id", "__tf_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -100,6 +100,22 @@ def test_one_document_of_each_group_stays(spark):
     assert ids.count(6) == 2  # two different texts share this id, each with a group of its own
 
 
+def plans_of(spark, make):
+    """Plans of all that Spark runs while make(spark) does."""
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    last = runs().last().executionId() if runs().nonEmpty() else -1
+    assert make(spark).collect()
+    return [r.physicalPlanDescription() for r in (runs().apply(i) for i in range(runs().size())) if r.executionId() > last]
+
+
+def test_no_join_of_the_stage_broadcasts(spark):
+    """Exploded keys are 35 times what Spark takes them for; as a broadcast they ended the driver over 0.5 GB."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plans = plans_of(spark, lambda s: simhash.drop_near_duplicates(fixture.frame(s, fixture.documents())))
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(fixture.empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(fixture.empty(spark)).count() == 0
