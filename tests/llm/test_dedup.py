@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyform.llm import graph, simhash, substring
+from tallyform.llm import graph, queries, simhash, substring
 from tests.llm import fixture
 
 
@@ -116,6 +116,12 @@ def test_no_join_of_the_stage_broadcasts(spark):
     assert not [p for p in plans if "BroadcastExchange" in p]
 
 
+def test_no_join_of_op7_broadcasts(spark, sf):
+    plans = plans_of(spark, lambda s: queries.queries()["op7_simhash"](s, sf))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(fixture.empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(fixture.empty(spark)).count() == 0
