@@ -842,7 +842,7 @@ def evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence written as one JSON array by its tasks, and read back."""
     path = f"{io.scratch(spark, 'array')}/results.json"
-    io.write_array(evidence(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")).repartition(5), path)
+    io.write_array(evidence(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")).hint("rebalance"), path)
     return io.read_evidence(spark, path).select("candidate", "sample_id", "document_type", "field_accuracy", "classification_correct", "portrait_quality_score", "latency_ms", "gpu_memory_mb", "license_status", "on_prem", "error", "error_code")
 
 

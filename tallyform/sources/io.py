@@ -102,10 +102,27 @@ def image_path(root: str, path: str = "image_path"):
     return F.concat_ws("/", F.lit(root.rstrip("/")), F.col(path))
 
 
+def _array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Objects of JSON arrays; one file whose lines hold whole objects, as write_array leaves it, is read by many tasks.
+
+    A line break never stands inside a string of JSON. Other layouts, and each of several files, are read whole by
+    one task. That all lines are whole is found by a pass of its own.
+    """
+    lines = spark.read.text(path)
+    body = F.btrim("value", F.lit(" \t[],"))
+    listed = F.concat(F.lit("["), body, F.lit("]"))
+    if len(lines.inputFiles()) == 1:
+        whole = (body == "") | (body.startswith("{") & body.endswith("}") & F.try_parse_json(listed).isNotNull())
+        if lines.agg(F.coalesce(F.bool_and(whole), F.lit(True)).alias("whole")).first().whole:
+            return lines.where(body != "").select(F.inline_outer(F.from_json(listed, T.ArrayType(schema))))
+    return spark.read.schema(schema).option("multiLine", True).option("caseSensitive", "true").json(path)
+
+
 def read_evidence(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Evidence from a JSON array or JSON lines, in either spelling of its keys, with defaults filled in."""
     snake, both = evidence_schema(), evidence_schema().fields + [f for f in evidence_schema("camel").fields if "_" not in f.name and f.name != f.name.lower()]
-    raw = spark.read.schema(T.StructType(both)).option("multiLine", multi_line).option("caseSensitive", "true").json(path)
+    schema = T.StructType(both)
+    raw = _array(spark, path, schema) if multi_line else spark.read.schema(schema).option("caseSensitive", "true").json(path)
     cols = []
     for f in snake:
         alt = camel(f.name)

@@ -61,3 +61,48 @@ def test_evidence_counts_its_rows(spark, tmp_path):
     e = spark.createDataFrame([("a", "s1", 2), ("a", "s0", 1)], "candidate string, sample_id string, ordinal int")
     assert io.write_array(e, str(tmp_path / "r.json")) == 2
     assert [r["sampleId"] for r in json.load(open(tmp_path / "r.json"))] == ["s0", "s1"]
+
+
+def test_an_array_is_read_by_many_tasks(spark, tmp_path):
+    path, split = str(tmp_path / "r.json"), "spark.sql.files.maxPartitionBytes"
+    e = spark.range(3000, numPartitions=3).select(F.concat(F.lit('a\n"},[{'), "id").alias("sample_id"), F.array(F.lit("[x],"), F.lit("}")).alias("notes"))
+    assert io.write_array(e, path) == 3000
+    size, kept = (tmp_path / "r.json").stat().st_size, spark.conf.get(split)
+    spark.conf.set(split, str(size // 8))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = io.read_evidence(spark, path).select("sample_id", "notes")
+        assert got.rdd.getNumPartitions() >= 8
+        assert sorted(got.collect()) == sorted(e.collect())
+        by_id = io.read_evidence(spark, path).select("sample_id", F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+        assert [r.sample_id for r in by_id] == [r.sample_id for r in e.collect()]
+    finally:
+        spark.conf.set(split, kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("layout", [{"indent": 2}, {"indent": 0}, {}, {"separators": (",\n", ":")}])
+def test_arrays_of_other_layouts(spark, tmp_path, layout):
+    rows = [{"sampleId": f"s{i}", "notes": ["{", "}],"], "perFieldScores": {"a": i / 4}, "error": None} for i in range(40)]
+    (tmp_path / "r.json").write_text(json.dumps(rows, **layout))
+    got = io.read_evidence(spark, str(tmp_path / "r.json")).collect()
+    assert [(r.sample_id, r.notes, r.per_field_scores, r.error) for r in got] == [(r["sampleId"], r["notes"], r["perFieldScores"], None) for r in rows]
+
+
+def test_several_objects_a_line_all_count(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"sampleId": "a"}, {"sampleId": "b"},\n\t{"sampleId": "c"} ,\n {"sampleId": "d"}]\n')
+    assert [r.sample_id for r in io.read_evidence(spark, str(tmp_path / "r.json")).collect()] == ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("text", ['[\n{"sampleId": "a", "x": [{"b": 1},\n{"b": 2}]}\n]\n', '[\n{"sampleId": "a", "x": {"b": 1},\n"c": {}}]'])
+def test_objects_across_lines_stay_whole(spark, tmp_path, text):
+    (tmp_path / "r.json").write_text(text)
+    assert [r.sample_id for r in io.read_evidence(spark, str(tmp_path / "r.json")).collect()] == ["a"]
+
+
+def test_lines_read_as_the_whole_does(spark, tmp_path):
+    odd = [{"sampleId": "a", "textCharCount": "x", "notes": 3}, {}, {"sample_id": "b", "latencyMs": "NaN"}, {"sampleId": 7, "perFieldScores": {"a": "y", "b": 1}}, {"sampleId": "c", "x": {"y": [1]}, "onPrem": "no"}]
+    (tmp_path / "lines.json").write_text("[\n" + ",\n".join(map(json.dumps, odd)) + "\n]\n")
+    (tmp_path / "whole.json").write_text(json.dumps(odd, indent=2))
+    a, b = (io.read_evidence(spark, str(tmp_path / f"{n}.json")) for n in ("lines", "whole"))
+    assert a.schema == b.schema and str(a.collect()) == str(b.collect()) and a.count() == 5
