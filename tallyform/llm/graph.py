@@ -15,20 +15,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the logarithm of the component size. Minima are aggregated on the map side before any shuffle,
     no neighbour list is ever gathered, and each round's edges are written to the shared scratch
     folder. Joins are merge joins by hint, so that no table of nodes is broadcast through the driver
-    whatever Spark takes its size to be. Nulls and self-loops are ignored; an empty table gives no rows.
+    whatever Spark takes its size to be; minima are written out first, so that a join has nothing but
+    two exchanges under it and a node of very many edges can be split. Nulls and self-loops are ignored; an empty table gives no rows.
     """
     star = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     spare: list[DataFrame] = []
     seen = None
     for _ in range(most_rounds):
         both = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = both.hint("merge").join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        spare.append(low)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.hint("merge").join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         nxt = materialize(small.distinct(), "small")
-        spare += [star, large]
+        spare += [star, large, low]
         star = nxt
         mark = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(star, spare)

@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = fingerprint_links(distinct.select("fp"), max_bits)
     roots = materialize(connected_components(links), "roots")
     low = distinct.hint("merge").join(roots.hint("merge"), distinct.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
+    low = materialize(low, "components")  # as below, for a component of very many fingerprints
     linked = roots.hint("merge").join(low.hint("merge"), "root").select(F.col("node").alias("fp"), "root", "component_id")
     # Written out, so that the last join has nothing but two exchanges under it and a fingerprint that
     # very many rows share can be split.
